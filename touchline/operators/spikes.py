@@ -117,6 +117,10 @@ def judge(pdf: pd.DataFrame, usual: float, rate: float, spec: ChartSpec) -> pd.D
     return pd.DataFrame(reasons)
 
 
+def _number(x) -> float:  # noqa: ANN001
+    return 0.0 if pd.isna(x) else float(x)
+
+
 def chart_above(tick: np.ndarray, s: np.ndarray, limit: float, spec: ChartSpec) -> np.ndarray:
     """One-sided chart for rates: runs of at most ``max_away`` readings above ``limit``, in control on both sides."""
     flags = np.zeros(len(s), dtype=bool)
@@ -155,9 +159,9 @@ def flag_implausible(
     usual = moved.filter("step is not null").groupBy("src").agg(F.percentile_approx("step", 0.5, spec.accuracy).alias("usual"))
     rates = rated.groupBy("src").agg(F.percentile_approx("rate", 0.5, spec.accuracy).alias("usual_rate"))
     # one row a block carries what is usual for its source, so the readings themselves need no join
-    blocks = one.groupBy("src", "blk").agg(F.lit(1).alias("n")).drop("n")
+    blocks = one.groupBy("src", "blk").agg(F.min("k").alias("k"))  # a key without null keeps its type
     header = blocks.join(usual, "src", "left").join(rates, "src", "left").select(
-        "src", "blk", F.lit(-1).alias("own"), F.lit(None).cast("long").alias("tick"), F.lit(None).cast(one.schema["k"].dataType).alias("k"),
+        "src", "blk", F.lit(-1).alias("own"), F.lit(0).cast("long").alias("tick"), "k",
         F.col("usual").alias("x"), F.lit(None).cast("double").alias("y"), F.col("usual_rate").alias("rate"),
     )
     within = F.col("tick") - F.col("blk") * spec.block
@@ -174,7 +178,7 @@ def flag_implausible(
         if not head.any() or head.all():
             return pd.DataFrame({"k": pdf["k"].iloc[:0], "reasons": pd.Series([], dtype=object)})
         top, rows = pdf[head].iloc[0], pdf[~head].sort_values(["tick", "k"], kind="stable").reset_index(drop=True)
-        told = judge(rows, float(top["x"] or 0), float(top["rate"] or 0), spec)
+        told = judge(rows, _number(top["x"]), _number(top["rate"]), spec)
         hit = told.to_numpy().any(axis=1) & (rows["own"].to_numpy() == 1)
         names = told.columns.to_numpy()
         return pd.DataFrame({"k": rows["k"][hit], "reasons": [names[r].tolist() for r in told.to_numpy()[hit]]})
