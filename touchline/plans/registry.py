@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from touchline.plans import cleaning
+from touchline.plans import automata, cleaning, reference
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "association_state"
 
 
 def queries() -> dict:
-    return {**cleaning.QUERIES}
+    return {**cleaning.QUERIES, **reference.QUERIES, **automata.QUERIES}
 
 
 def oracles() -> dict:
-    return {**cleaning.ORACLES}
+    return {**cleaning.ORACLES, **reference.ORACLES, **automata.ORACLES}
