@@ -66,6 +66,7 @@ class Automaton:
         texts = [words(p or "") for _, p in items]
         self.lengths = [sum(map(len, t)) for t in texts]
         self.word_counts = [len(t) for t in texts]
+        self.texts = texts
         # starts of words in each passage's squeezed text, and its end
         self.starts = [np.cumsum([0, *map(len, t)]) for t in texts]
         flat = ["".join(t) for t in texts]
@@ -74,6 +75,7 @@ class Automaton:
             self.offsets.append(at)
             at += len(t) + 1
         self._least: int | None = None
+        self._shared: dict[int, dict] = {}
         self._build(flat)
 
     def _build(self, texts: list[str]) -> None:
@@ -152,6 +154,16 @@ class Automaton:
             self._least = min(runs, default=0)
         return self._least
 
+    def shared(self, m: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """Where ``m`` words from a word of one passage stand in other passages as well: a match with one is one with all."""
+        if m not in self._shared:
+            at: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+            for k, t in enumerate(self.texts):
+                for w in range(len(t) - m + 1):
+                    at[tuple(t[w : w + m])].append((k, w))
+            self._shared[m] = {x: [y for y in same if y[0] != x[0]] for same in at.values() if len({k for k, _ in same}) > 1 for x in same}
+        return self._shared[m]
+
     def places(self, text: str) -> list[tuple[int, int]]:
         """(passage, position) wherever ``text`` stands in the passages."""
         out, at = [], self.flat.find(text)
@@ -177,10 +189,29 @@ class Automaton:
             for k, at in where:
                 hits[k].append((end - n, at, n))
         out = {}
-        for k, spans in hits.items():
+        also, self._window = self.shared(spec.min_words), spec.min_words
+        for k, spans in list(hits.items()):
+            if also and (others := self._others(k, spans, also)):
+                for j, run in others.items():
+                    out[self.ids[j]] = max(out.get(self.ids[j], (0, 0.0)), (run, 0.0))
             run, share = self._score(k, spans, spec)
             if run >= min(spec.min_words, self.word_counts[k]) or share >= spec.coverage:
-                out[self.ids[k]] = (run, share)
+                known = out.get(self.ids[k], (0, 0.0))
+                out[self.ids[k]] = (max(run, known[0]), max(share, known[1]))
+        return out
+
+    def _others(self, k: int, spans: list[tuple[int, int, int]], also: dict) -> dict[int, int]:
+        """Passages that share a long stretch with what was found of passage ``k``, and the words of it."""
+        starts, seen = self.starts[k], defaultdict(set)
+        for _, at, n in spans:
+            first, last = int(np.searchsorted(starts, at, side="left")), int(np.searchsorted(starts, at + n, side="right")) - 1
+            for w in range(first, last):
+                for j, v in also.get((k, w), ()):
+                    if w + self._window <= last:
+                        seen[j, v - w].add(w)
+        out: dict[int, int] = {}
+        for (j, _), ws in seen.items():
+            out[j] = max(out.get(j, 0), self._window + len(ws) - 1)
         return out
 
     def _score(self, k: int, spans: list[tuple[int, int, int]], spec: LeakSpec) -> tuple[int, float]:
