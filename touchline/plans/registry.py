@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from touchline.plans import automata, cleaning, reference
+from touchline.plans import automata, cleaning, pipelines, reference
 
 FLAGSHIP = "association_state"
 
 
 def queries() -> dict:
-    return {**cleaning.QUERIES, **reference.QUERIES, **automata.QUERIES}
+    return {**cleaning.QUERIES, **reference.QUERIES, **automata.QUERIES, **pipelines.QUERIES}
 
 
 def oracles() -> dict:
-    return {**cleaning.ORACLES, **reference.ORACLES, **automata.ORACLES}
+    return {**cleaning.ORACLES, **reference.ORACLES, **automata.ORACLES, **pipelines.ORACLES}
