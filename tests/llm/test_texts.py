@@ -115,7 +115,8 @@ def corpus(rng, n):
         for s in subjects:
             parts += [f"The {rng.choice(terms[s])} was {rng.choice(['seen', 'noted', 'moved'])} with the {rng.choice(terms[s])} today." for _ in range(rng.choice([3, 4, 6]))]
         other = rng.choice([s for s in terms if s not in subjects])
-        parts.append(f"Someone asked about the {rng.choice(terms[other])}.")
+        if rng.random() < 0.3:
+            parts.append(f"Someone asked about the {rng.choice(terms[other])}.")
         rng.shuffle(parts)
         docs.append((i, " ".join(parts), "x"))
         truth.append(set(subjects))

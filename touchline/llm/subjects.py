@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h\d|td|tr|table)\b[^<>]{0,300}>", re.IGNORECASE)
+_BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h\d|td|tr|table)\b[^<>]{0,300}>", re.IGNORECASE)
+_BREAK = re.compile(r"<br\b[^<>]{0,300}>", re.IGNORECASE)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_QUOTE = re.compile(r"(?m)^[ \t]*>+[ \t]?")
 _HEADING = re.compile(r"(?m)^(\s*#.*)$")
-_END = re.compile(r"(?<=[.!?…])[\s\"”»)]+|\n\s*\n|\n(?=\s*(?:[-*#>•]|\d+[.)]))|(?<=[.!?:])\n| lol\b")
+_END = re.compile(r"(?<=[.!?…])[\s\"”»)]+|\n\s*\n|\n(?=\s*(?:[-*#•]|\d+[.)]))|(?<=[.!?:])\n| lol\b")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 
 
@@ -21,27 +23,31 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 class SubjectSpec:
     """``max_train`` labelled documents at most fit the models (a hash-random sample); everything else
     covers all documents. ``min_sentences`` sentences make a subject; a sentence of ``long`` words or more counts
-    twice. ``thresholds`` are the evidences (nats) tried for a sentence; the one that agrees best with
+    twice. ``filler`` is the part of a sentence's likeness to subjectless ones that is taken off. ``thresholds`` are the evidences (nats) tried for a sentence; the one that agrees best with
     the labels is taken."""
 
     max_train: int = 12_000
     min_sentences: int = 3
     long: int = 22
     passes: int = 4
+    cap: int = 1
+    filler: float = 0.3
     prior: float = 300.0
     context: float = 5.0
     low: float = -0.5
     high: float = 3.0
-    unlabelled: float = -2.0
-    thresholds: tuple[float, ...] = (2.0, 2.5, 3.0, 3.5, 4.0)
-    default: float = 3.0
+    unlabelled: float = -1e9
+    thresholds: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0)
+    default: float = 2.0
     seed: int = field(default=17)
 
 
 def sentences(text: str) -> list[list[str]]:
     """Lower-case words of every sentence; numbers are one word, line breaks end no sentence by themselves."""
     if "<" in text:
-        text = _TAG.sub("", _BLOCK.sub("\n\n", text))
+        text = _TAG.sub("", _BREAK.sub("\n", _BLOCK.sub("\n\n", text)))
+    if ">" in text:
+        text = _QUOTE.sub("", text)
     if "#" in text:
         text = _HEADING.sub(r"\1\n", text)
     out = []
@@ -62,11 +68,37 @@ class Corpus:
     size: np.ndarray  # words of each sentence
 
 
-def encode(texts: list[str | None], vocabulary: dict[str, int]) -> Corpus:
-    """Words that the vocabulary lacks are number 0, the beginning of a sentence is number 1."""
+class Speller:
+    """Numbers of words. A word of five letters or more that is one slip (a letter too many, too few, wrong or two swapped)
+    off a known one counts as that; otherwise unknown words are number 0."""
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 500_000):
+        self.known, self.most = dict(vocabulary), most
+        self.near: dict[str, int] = {}
+        for w, n in vocabulary.items():
+            if len(w) >= 5:
+                for v in (w, *self._shorter(w)):
+                    self.near.setdefault(v, n)
+
+    @staticmethod
+    def _shorter(w: str) -> list[str]:
+        return [w[:i] + w[i + 1 :] for i in range(len(w))]
+
+    def __call__(self, w: str) -> int:
+        n = self.known.get(w)
+        if n is None:
+            n = 0
+            if len(w) >= 5:
+                n = next((self.near[v] for v in (w, *self._shorter(w)) if v in self.near), 0)
+            if len(self.known) < self.most:
+                self.known[w] = n
+        return n
+
+
+def encode(texts: list[str | None], number: Speller) -> Corpus:
+    """Unknown words are number 0, the beginning of a sentence is number 1."""
     word: list[int] = []
     sentence, doc, size = [], [], []
-    find = vocabulary.get
     for d, text in enumerate(texts):
         if not text:
             continue
@@ -74,7 +106,7 @@ def encode(texts: list[str | None], vocabulary: dict[str, int]) -> Corpus:
             sentence.append(len(word))
             doc.append(d)
             size.append(len(s))
-            word.extend([find(w, 0) for w in s])
+            word.extend([number(w) for w in s])
     w = np.array(word, dtype=np.int64)
     prev = np.r_[1, w[:-1]] if len(w) else w
     start = np.array(sentence, dtype=np.int64)
@@ -85,12 +117,22 @@ def encode(texts: list[str | None], vocabulary: dict[str, int]) -> Corpus:
 class SubjectModels:
     """Interpolated bigram models: of each subject, and of all that isn't it as its background.
 
-    Counts are of documents, so one long document weighs no more than a short one. A bigram is interpolated
+    A document counts a word or bigram ``cap`` times at most, so a long one weighs little more than a short one. A bigram is interpolated
     with the word, the word with the whole sample. ``gain`` is a word's log ratio of both models.
     """
 
     def __init__(self, subjects: list[str], vocabulary: dict[str, int], spec: SubjectSpec):
         self.subjects, self.vocabulary, self.spec, self.threshold = subjects, vocabulary, spec, spec.default
+        self._speller: Speller | None = None
+
+    @property
+    def speller(self) -> Speller:
+        if self._speller is None:
+            self._speller = Speller(self.vocabulary)
+        return self._speller
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_speller": None}
 
     def fit(self, c: Corpus, doc: np.ndarray, cls: np.ndarray, weight: np.ndarray, word: np.ndarray, prev: np.ndarray) -> None:
         """``cls`` is the class of every token occurrence given (the last one is no subject)."""
@@ -100,9 +142,9 @@ class SubjectModels:
 
         def counts(unit: np.ndarray, n: int) -> np.ndarray:
             code = (doc * k + cls) * np.int64(n) + unit
-            _, first = np.unique(code, return_index=True)
+            _, first, times = np.unique(code, return_index=True, return_counts=True)
             out = np.zeros((n, k))
-            np.add.at(out, (unit[first], cls[first]), weight[first])
+            np.add.at(out, (unit[first], cls[first]), weight[first] * np.minimum(times, self.spec.cap))
             return out
 
         bi, uni = counts(row, len(self.pairs)), counts(word, v)
@@ -110,12 +152,12 @@ class SubjectModels:
         np.add.at(ctx, self.pairs // v, bi)
         total = uni.sum(0)
         base = (uni.sum(1) + 0.5) / (total.sum() + 1000)
-        own, rest = (lambda a: a[..., :-1]), (lambda a: a.sum(-1, keepdims=True) - a[..., :-1])
+        own, rest = (lambda a: a), (lambda a: a.sum(-1, keepdims=True) - a)
         p, q = self.spec.prior, self.spec.context
         one = [(side(uni) + p * base[:, None]) / (side(total) + p) for side in (own, rest)]
         w, h = self.pairs % v, self.pairs // v
         two = [np.log((side(bi) + q * o[w]) / (side(ctx)[h] + q)) for side, o in zip((own, rest), one)]
-        self.seen = np.vstack([(two[0] - two[1]), np.zeros(k - 1)]).astype(np.float32)
+        self.seen = np.vstack([(two[0] - two[1]), np.zeros(k)]).astype(np.float32)
         self.word_gain = np.log(one[0] / one[1]).astype(np.float32)
         self.context_gain = np.log((rest(ctx) + q) / (own(ctx) + q)).astype(np.float32)
 
@@ -125,7 +167,7 @@ class SubjectModels:
         if not len(c.word):
             return np.zeros((0, k), dtype=np.float32)
         v = len(self.vocabulary) + 2
-        out = np.empty((len(c.sentence), k), dtype=np.float32)
+        out = np.empty((len(c.sentence), k + 1), dtype=np.float32)
         edges = [*range(0, len(c.sentence), 20_000), len(c.sentence)]
         for a, b in zip(edges, edges[1:]):
             lo, hi = c.sentence[a], c.sentence[b] if b < len(c.sentence) else len(c.word)
@@ -134,7 +176,7 @@ class SubjectModels:
             known = (self.pairs[at] == h * v + w)[:, None]
             gain = np.where(known, self.seen[at], self.word_gain[w] + self.context_gain[h])
             out[a:b] = np.add.reduceat(np.clip(gain, self.spec.low, self.spec.high), c.sentence[a:b] - lo, axis=0)
-        return out
+        return out[:, :k] - self.spec.filler * np.maximum(out[:, k:], 0)
 
     def votes(self, c: Corpus, score: np.ndarray, docs: int, threshold: float) -> np.ndarray:
         """Sentences of each document that deal with each subject: that of most evidence, if enough."""
@@ -153,7 +195,7 @@ def train(texts: list[str], labels: list[set[int]], subjects: list[str], spec: S
     least = max(3, len(texts) // 2000)
     vocabulary = {w: i + 2 for i, w in enumerate(sorted(n.index[n >= least]))}
     models, k = SubjectModels(subjects, vocabulary, spec), len(subjects)
-    c = encode(texts, vocabulary)
+    c = encode(texts, models.speller)
     if not len(c.word):
         return models
     of = np.repeat(np.arange(len(c.sentence)), c.size)  # the sentence of every token
@@ -207,7 +249,7 @@ def tag_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, doc: s
     def tag(batches):  # noqa: ANN001
         m = shared.value
         for pdf in batches:
-            c = encode(pdf["t"].tolist(), m.vocabulary)
+            c = encode(pdf["t"].tolist(), m.speller)
             votes = m.votes(c, m.score(c), len(pdf), m.threshold)
             d, s = np.nonzero(votes >= m.spec.min_sentences)
             yield pd.DataFrame({"d": pdf["d"].to_numpy()[d], "s": np.array(m.subjects, dtype=object)[s], "n": votes[d, s]})
