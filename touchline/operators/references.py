@@ -51,15 +51,15 @@ def orphan_references(
     up = up.withColumn("_g", hashed(F.col("_salt")))
     bounds = Ranges.draw(refs, F.col("_g"), F.lit(0), n)
     nothing = {c: F.lit(None).cast(refs.schema[c].dataType) for c in kept if c not in ("key",)}
-    stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    # a missing time makes nothing late
+    stamp = lambda c, rest: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(rest))
     parents_side = up.select(
         F.col("key"), *[v.alias(c) for c, v in nothing.items()], "_g", F.lit(0).alias("_side"),
-        stamp("since").alias("_at"), F.coalesce(F.col("gone"), F.lit(False)).alias("_gone"),
+        stamp("since", -(2**63)).alias("_at"), F.coalesce(F.col("gone"), F.lit(False)).alias("_gone"),
     )
-    refs_side = refs.select(*kept, "_g", F.lit(1).alias("_side"), stamp("seen").alias("_at"), F.lit(False).alias("_gone"))
+    refs_side = refs.select(*kept, "_g", F.lit(1).alias("_side"), stamp("seen", 2**63 - 1).alias("_at"), F.lit(False).alias("_gone"))
     both = parents_side.unionByName(refs_side).withColumn("_r", bounds.column(F.col("_g"), F.lit(0)))
     schema = ", ".join(f"`{c}` {refs.schema[c].dataType.simpleString()}" for c in kept) + ", reason string"
-    kept_null = 2**63 - 1
 
     def probe(batches):  # noqa: ANN001
         held: list[pd.DataFrame] = []
@@ -77,25 +77,25 @@ def orphan_references(
                 if not len(ask):
                     continue
                 if arrays is None:
-                    arrays = _arrays(held, kept_null)
-                yield ask[kept].assign(reason=_probe(arrays, ask, kept_null)).dropna(subset=["reason"])
+                    arrays = _arrays(held)
+                yield ask[kept].assign(reason=_probe(arrays, ask)).dropna(subset=["reason"])
 
     found = both.repartition(n, "_r").sortWithinPartitions("_r", "_side", "_g", "key").mapInPandas(probe, schema)
     return found
 
 
-def _arrays(held: list[pd.DataFrame], late: int) -> tuple[np.ndarray, ...]:
+def _arrays(held: list[pd.DataFrame]) -> tuple[np.ndarray, ...]:
     """A range's parents, sorted by hash; they arrive sorted, so this only joins them."""
     if not held:
         return (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, bool))
     all_ = pd.concat(held, ignore_index=True)
-    return all_["_g"].to_numpy(), all_["key"].to_numpy(), all_["_at"].fillna(-late).to_numpy(dtype=np.int64), all_["_gone"].to_numpy(dtype=bool)
+    return all_["_g"].to_numpy(), all_["key"].to_numpy(), all_["_at"].to_numpy(dtype=np.int64), all_["_gone"].to_numpy(dtype=bool)
 
 
-def _probe(arrays: tuple[np.ndarray, ...], ask: pd.DataFrame, late: int) -> np.ndarray:
+def _probe(arrays: tuple[np.ndarray, ...], ask: pd.DataFrame) -> np.ndarray:
     h, key, since, gone = arrays
     g, k = ask["_g"].to_numpy(), ask["key"].to_numpy()
-    seen = ask["_at"].fillna(late).to_numpy(dtype=np.int64)
+    seen = ask["_at"].to_numpy(dtype=np.int64)
     out = np.full(len(ask), "missing", dtype=object)
     if not len(h):
         return out

@@ -181,7 +181,7 @@ def flag_implausible(
         told = judge(rows, _number(top["x"]), _number(top["rate"]), spec)
         hit = told.to_numpy().any(axis=1) & (rows["own"].to_numpy() == 1)
         names = told.columns.to_numpy()
-        return pd.DataFrame({"k": rows["k"][hit], "reasons": [names[r].tolist() for r in told.to_numpy()[hit]]})
+        return pd.DataFrame({"k": rows["k"][hit], "reasons": pd.Series([names[r].tolist() for r in told.to_numpy()[hit]], index=rows.index[hit], dtype=object)})
 
     found = header.unionByName(spread).groupBy("src", "blk").applyInPandas(block, f"k {kind}, reasons array<string>")
     return found.select(F.col("k").alias(key), "reasons")
