@@ -28,6 +28,7 @@ def top_n(df: DataFrame, *, group: list[str], score: str, tie: str, n: int, band
     rows = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(
         *[F.col(c).alias(g) for c, g in zip(group, names)], F.col(tie).alias("tie"), F.col(score).alias("score")
     )
+    rows = materialise(rows, "scores")  # read by the quantiles and by every band
     edges = rows.agg(F.percentile_approx(F.col("score").cast("double"), [1 - b for b in bands], 1000).alias("q")).first()["q"] or []
     band = reduce(lambda rest, ie: F.when(F.col("score") >= ie[1], ie[0]).otherwise(rest), reversed(list(enumerate(edges))), F.lit(len(edges)))
     rows = rows.withColumn("h", F.xxhash64(*names)).withColumn("band", band)
