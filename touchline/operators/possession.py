@@ -90,20 +90,20 @@ def time_weighted_accuracy(truth: DataFrame, guess: DataFrame, *, by: list[str])
     wherever there is truth, team and player only where the truth is controlled.
     """
     points = truth.select(*by, "start", "end").unionByName(guess.select(*by, "start", "end"))
-    points = points.select(*by, F.explode(F.array("start", "end")).alias("a")).distinct()
-    slices = points.withColumn("b", F.lead("a").over(Window.partitionBy(*by).orderBy("a"))).filter("b is not null").withColumn("m", (F.col("a") + F.col("b")) / 2)
+    points = points.select(*by, F.explode(F.array("start", "end")).alias("_a")).distinct()
+    slices = points.withColumn("_z", F.lead("_a").over(Window.partitionBy(*by).orderBy("_a"))).filter("_z is not null").withColumn("_m", (F.col("_a") + F.col("_z")) / 2)
 
     def at(df: DataFrame, name: str) -> DataFrame:
         iv = df.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.struct("state", "team", "player").alias("_v"), F.col("id").alias("_i"))
-        hit = slices.join(iv, by).filter((F.col("_s") <= F.col("m")) & (F.col("_e") > F.col("m")))
-        return hit.groupBy(*by, "a").agg(F.min_by("_v", F.struct("_s", "_i")).alias(name))
+        hit = slices.join(iv, by).filter((F.col("_s") <= F.col("_m")) & (F.col("_e") > F.col("_m")))
+        return hit.groupBy(*by, "_a").agg(F.min_by("_v", F.struct("_s", "_i")).alias(name))
 
-    got = slices.join(at(truth, "t"), [*by, "a"]).join(at(guess, "g"), [*by, "a"], "left").withColumn("len", F.col("b") - F.col("a"))
-    controlled = F.col("t.state") == "controlled"
-    secs = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("len"))), F.lit(0.0))
+    got = slices.join(at(truth, "_t"), [*by, "_a"]).join(at(guess, "_g"), [*by, "_a"], "left").withColumn("_len", F.col("_z") - F.col("_a"))
+    controlled = F.col("_t.state") == "controlled"
+    secs = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_len"))), F.lit(0.0))
     return got.groupBy(*by).agg(
-        F.sum("len").alias("evaluated_seconds"), secs(controlled).alias("controlled_seconds"), secs(F.col("t.state") == F.col("g.state")).alias("state_seconds"),
-        secs(controlled & (F.col("t.team") == F.col("g.team"))).alias("team_seconds"), secs(controlled & (F.col("t.player") == F.col("g.player"))).alias("player_seconds"),
+        F.sum("_len").alias("evaluated_seconds"), secs(controlled).alias("controlled_seconds"), secs(F.col("_t.state") == F.col("_g.state")).alias("state_seconds"),
+        secs(controlled & (F.col("_t.team") == F.col("_g.team"))).alias("team_seconds"), secs(controlled & (F.col("_t.player") == F.col("_g.player"))).alias("player_seconds"),
     )
 
 

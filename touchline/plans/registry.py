@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from touchline.plans import automata, cleaning, pipelines, reference
+from touchline.plans import automata, cleaning, pipelines, reference, reviews
 
 FLAGSHIP = "association_state"
 
 
 def queries() -> dict:
-    return {**cleaning.QUERIES, **reference.QUERIES, **automata.QUERIES, **pipelines.QUERIES}
+    return {**cleaning.QUERIES, **reference.QUERIES, **automata.QUERIES, **pipelines.QUERIES, **reviews.QUERIES}
 
 
 def oracles() -> dict:
-    return {**cleaning.ORACLES, **reference.ORACLES, **automata.ORACLES, **pipelines.ORACLES}
+    return {**cleaning.ORACLES, **reference.ORACLES, **automata.ORACLES, **pipelines.ORACLES, **reviews.ORACLES}
