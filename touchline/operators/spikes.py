@@ -21,19 +21,20 @@ class ChartSpec:
     """Parameters of the charts.
 
     ``suspect`` and ``confirm`` are multiples of the source's usual motion (median distance of one
-    reading from the one before); ``rate_factor`` one of the median rate. At most ``max_away``
+    reading from the one before); the trend is carried on for ``trend_ticks`` at most; ``rate_factor`` one of the median rate. At most ``max_away``
     readings may be away together. ``min_stuck`` equal readings make a stuck stretch. The chart
     starts anew after ``max_gap`` ticks without a reading, which is also how far a block looks to
     either side of its own ticks, so that blocks give what one pass over the source would.
     """
 
-    suspect: float = 12.0
-    confirm: float = 30.0
+    suspect: float = 8.0
+    confirm: float = 12.0
     rate_factor: float = 15.0
     max_away: int = 3
     min_stuck: int = 6
     max_gap: int = 600
     weight: float = 0.2
+    trend_ticks: int = 15
     block: int = 8192
     place_min: float = -5000.0
     place_max: float = 20000.0
@@ -42,50 +43,68 @@ class ChartSpec:
     accuracy: int = field(default=10000)
 
 
-def chart(tick: np.ndarray, u: np.ndarray, w: np.ndarray, usual: float, suspect: float, confirm: float, spec: ChartSpec) -> np.ndarray:
-    """Flags the readings of one source that left the chart and came back.
+def chart(tick: np.ndarray, u: np.ndarray, w: np.ndarray, usual: float, pace: float, spec: ChartSpec) -> np.ndarray:
+    """Flags the readings of one source that left the chart and came back. ``usual`` is its motion from one reading to the next, ``pace`` that per tick.
 
     Trend and scale of the motion are exponentially weighted. A suspected reading is clipped before they
-    are updated: its deviation counts as one and a half scales, its motion as the trend itself. After more than ``max_away`` suspects in a row the level has moved for good: the chart starts anew there
-    and flags none of them. A run that ends is flagged if the readings on both its sides
-    agree: each suspect is ``confirm`` usual motions from both and three times as far as they are
-    from each other.
+    are updated: its deviation counts as one and a half scales, its motion as the trend itself. A run of suspects ends
+    with a reading in control, or after ``max_away`` with none; then it is checked exactly which of its
+    first readings, if any, are away from both neighbours while these agree. If none are, the level has moved: the chart starts anew
+    with the run's first reading, and the others are judged again.
     """
     n = len(tick)
     flags = np.zeros(n, dtype=bool)
     if n == 0 or not usual > 0:
         return flags
     T, U, V = tick.tolist(), u.tolist(), w.tolist()
-    last, vu, vw, scale, away = 0, 0.0, 0.0, usual, 0
-    a, hypot, limit = spec.weight, np.hypot, suspect * usual
-    for i in range(1, n):
+    a, limit, least = spec.weight, spec.suspect * usual, spec.confirm * usual
+
+    def apart(i: int, j: int) -> float:
+        return ((U[i] - U[j]) ** 2 + (V[i] - V[j]) ** 2) ** 0.5
+
+    def away(b: int, c: int) -> bool:
+        """Whether all between ``b`` and ``c`` are far from both: farther than usual and than three times what these are apart, and at least on one side farther than a move through the gap there."""
+        least_here = max(least, 3 * apart(b, c))
+        for k in range(b + 1, c):
+            before, after = apart(k, b), apart(k, c)
+            if min(before, after) <= least_here or (before <= 2 * pace * (T[k] - T[b]) and after <= 2 * pace * (T[c] - T[k])):
+                return False
+        return True
+
+    last, vu, vw, scale = 0, 0.0, 0.0, usual
+    i = 1
+    while i < n:
         dt = T[i] - T[last]
         if T[i] - T[i - 1] > spec.max_gap:
-            last, vu, vw, scale, away = i, 0.0, 0.0, usual, 0
+            last, vu, vw, scale = i, 0.0, 0.0, usual
+            i += 1
             continue
-        du, dw = U[i] - U[last], V[i] - V[last]
-        ru, rw = du - vu * dt, dw - vw * dt
+        du, dw, ahead = U[i] - U[last], V[i] - V[last], min(dt, spec.trend_ticks)
+        ru, rw = du - vu * ahead, dw - vw * ahead
         off, step = (ru * ru + rw * rw) ** 0.5, (du * du + dw * dw) ** 0.5
-        reach = suspect * max(scale, usual)
-        # out of control against the trend and against the level itself
-        if off > reach and step > limit:
-            away += 1
+        suspect = off > max(limit, 4 * scale) and step > limit
+        if suspect and i - last <= spec.max_away:
             scale += a * (min(off, 1.5 * scale) - scale)
-            if away > spec.max_away:
-                last, vu, vw, scale, away = i, 0.0, 0.0, usual, 0
+            i += 1
             continue
-        if away:
-            run = np.arange(last + 1, i)
-            back = (du * du + dw * dw) ** 0.5
-            far = np.minimum(hypot(u[run] - U[last], w[run] - V[last]), hypot(u[run] - U[i], w[run] - V[i]))
-            if far.min() > max(confirm * usual, 3 * back):
-                flags[run] = True
-            away = 0
+        if suspect or i - last > 1:
+            back = next((c for c in range(last + 2, i + 1) if away(last, c)), None)
+            if back is not None:
+                flags[last + 1 : back] = True
+                # the reading that came back is the chart's new last; what follows is judged from there
+                last, scale = back, max(scale, usual)
+                i = back + 1
+                continue
+            if suspect:
+                last, vu, vw, scale = last + 1, 0.0, 0.0, usual
+                i = last + 1
+                continue
         dt = max(dt, 1)
         scale += a * (min(off, 3 * scale) - scale)
         vu += a * (du / dt - vu)
         vw += a * (dw / dt - vw)
         last = i
+        i += 1
     return flags
 
 
@@ -99,7 +118,7 @@ def stuck(values: np.ndarray, least: int) -> np.ndarray:
     return (np.bincount(run)[run] >= least) & ~new
 
 
-def judge(pdf: pd.DataFrame, usual: float, rate: float, spec: ChartSpec) -> pd.DataFrame:
+def judge(pdf: pd.DataFrame, usual: float, pace: float, rate: float, spec: ChartSpec) -> pd.DataFrame:
     """Reasons per reading of one sorted block; nulls are never a case and are passed over."""
     tick, x, y, s = (pdf[c].to_numpy(dtype=float) for c in ("tick", "x", "y", "rate"))
     reasons = {k: np.zeros(len(pdf), dtype=bool) for k in ("place_limit", "rate_limit", "place_spike", "rate_spike", "x_stuck", "y_stuck", "rate_stuck")}
@@ -108,7 +127,7 @@ def judge(pdf: pd.DataFrame, usual: float, rate: float, spec: ChartSpec) -> pd.D
         bad_rate = (s < spec.rate_min) | (s > spec.rate_max)
     reasons["place_limit"], reasons["rate_limit"] = bad_place, bad_rate
     at = np.flatnonzero(~np.isnan(x) & ~np.isnan(y) & ~bad_place)
-    reasons["place_spike"][at[chart(tick[at], x[at], y[at], usual, spec.suspect, spec.confirm, spec)]] = True
+    reasons["place_spike"][at[chart(tick[at], x[at], y[at], usual, pace, spec)]] = True
     at = np.flatnonzero(~np.isnan(s) & ~bad_rate)
     reasons["rate_spike"][at[chart_above(tick[at], s[at], rate * spec.rate_factor, spec)]] = True
     for name, values in (("x_stuck", x), ("y_stuck", y), ("rate_stuck", s)):
@@ -154,15 +173,15 @@ def flag_implausible(
 
     sane = F.col("x").between(spec.place_min, spec.place_max) & F.col("y").between(spec.place_min, spec.place_max)
     order = Window.partitionBy("src", "blk").orderBy("tick", "k")
-    moved = one.filter(sane).select("src", "blk", F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)).alias("step"))
+    moved = one.filter(sane).select("src", "blk", F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)).alias("step"), (F.col("tick") - F.lag("tick").over(order)).alias("dt"))
     rated = one.filter(F.col("rate").between(spec.rate_min, spec.rate_max))
-    usual = moved.filter("step is not null").groupBy("src").agg(F.percentile_approx("step", 0.5, spec.accuracy).alias("usual"))
+    usual = moved.filter("step is not null").groupBy("src").agg(F.percentile_approx("step", 0.5, spec.accuracy).alias("usual"), F.percentile_approx(F.try_divide("step", "dt"), 0.5, spec.accuracy).alias("pace"))
     rates = rated.groupBy("src").agg(F.percentile_approx("rate", 0.5, spec.accuracy).alias("usual_rate"))
     # one row a block carries what is usual for its source, so the readings themselves need no join
     blocks = one.groupBy("src", "blk").agg(F.min("k").alias("k"))  # a key without null keeps its type
     header = blocks.join(usual, "src", "left").join(rates, "src", "left").select(
         "src", "blk", F.lit(-1).alias("own"), F.lit(0).cast("long").alias("tick"), "k",
-        F.col("usual").alias("x"), F.lit(None).cast("double").alias("y"), F.col("usual_rate").alias("rate"),
+        F.col("usual").alias("x"), F.col("pace").alias("y"), F.col("usual_rate").alias("rate"),
     )
     within = F.col("tick") - F.col("blk") * spec.block
     seen_by = F.array_compact(F.array(
@@ -178,7 +197,7 @@ def flag_implausible(
         if not head.any() or head.all():
             return pd.DataFrame({"k": pdf["k"].iloc[:0], "reasons": pd.Series([], dtype=object)})
         top, rows = pdf[head].iloc[0], pdf[~head].sort_values(["tick", "k"], kind="stable").reset_index(drop=True)
-        told = judge(rows, _number(top["x"]), _number(top["rate"]), spec)
+        told = judge(rows, _number(top["x"]), _number(top["y"]), _number(top["rate"]), spec)
         hit = told.to_numpy().any(axis=1) & (rows["own"].to_numpy() == 1)
         names = told.columns.to_numpy()
         return pd.DataFrame({"k": rows["k"][hit], "reasons": pd.Series([names[r].tolist() for r in told.to_numpy()[hit]], index=rows.index[hit], dtype=object)})
