@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -191,9 +192,12 @@ class SubjectModels:
 def train(texts: list[str], labels: list[set[int]], subjects: list[str], spec: SubjectSpec = SubjectSpec()) -> SubjectModels:
     """Models from labelled documents. Sentences are shared out among subjects over a few passes, since a document
     may have several subjects and labels may be wrong; the threshold is then calibrated against the labels."""
-    n = pd.Series([w for t in texts if t for w in {w for s in sentences(t) for w in s}], dtype=object).value_counts()
+    n: Counter[str] = Counter()
+    for t in texts:
+        if t:
+            n.update({w for s in sentences(t) for w in s})
     least = max(3, len(texts) // 2000)
-    vocabulary = {w: i + 2 for i, w in enumerate(sorted(n.index[n >= least]))}
+    vocabulary = {w: i + 2 for i, w in enumerate(sorted(w for w, times in n.items() if times >= least))}
     models, k = SubjectModels(subjects, vocabulary, spec), len(subjects)
     c = encode(texts, models.speller)
     if not len(c.word):
