@@ -252,10 +252,12 @@ def tag_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, doc: s
 
     def tag(batches):  # noqa: ANN001
         m = shared.value
-        for pdf in batches:
-            c = encode(pdf["t"].tolist(), m.speller)
-            votes = m.votes(c, m.score(c), len(pdf), m.threshold)
-            d, s = np.nonzero(votes >= m.spec.min_sentences)
-            yield pd.DataFrame({"d": pdf["d"].to_numpy()[d], "s": np.array(m.subjects, dtype=object)[s], "n": votes[d, s]})
+        for batch in batches:
+            for at in range(0, len(batch), 500):  # few texts at a time, however long they are
+                pdf = batch.iloc[at : at + 500]
+                c = encode(pdf["t"].tolist(), m.speller)
+                votes = m.votes(c, m.score(c), len(pdf), m.threshold)
+                d, s = np.nonzero(votes >= m.spec.min_sentences)
+                yield pd.DataFrame({"d": pdf["d"].to_numpy()[d], "s": np.array(m.subjects, dtype=object)[s], "n": votes[d, s]})
 
     return texts.mapInPandas(tag, schema).groupBy(F.col("d").alias(doc), F.col("s").alias(subject)).agg(F.max("n").alias("n_sentences"))
