@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ranges import Ranges
-from touchline.session import materialise, parallelism
+from touchline.session import materialise, pieces
 
 _LOW = -(2**62)
 
@@ -49,7 +49,7 @@ def merge_intervals(df: DataFrame, *, entity: list[str], start: str, end: str, r
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(entity, names)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("t"))
     rows = rows.filter("s is not null and t is not null and t > s").groupBy(*names, "s").agg(F.max("t").alias("t"))
     rows = materialise(rows.withColumn("h", h).withColumn("id", F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("-")) for n in names])), "intervals")
-    n = ranges or parallelism(spark)
+    n = ranges or pieces(rows)
     bounds = Ranges.draw(rows, F.col("h"), F.col("s"), n)
     rows = rows.withColumn("r", bounds.column(F.col("h"), F.col("s")))
 

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows the driver sees per range when it draws bounds. Bounds only decide balance, never a result.
-SAMPLE_PER_RANGE = 64
+#: Rows the driver sees per range when it draws bounds, and at most in all unless there are more ranges than that. Bounds only decide balance, never a result.
+SAMPLE_PER_RANGE, SAMPLE_MOST = 64, 500_000
 
 
 class Ranges:
@@ -23,12 +23,12 @@ class Ranges:
 
     @classmethod
     def draw(cls, df: DataFrame, h: Column, s: Column, n: int) -> Ranges:
-        """Bounds from a sample of at most about ``SAMPLE_PER_RANGE`` rows a range."""
+        """Bounds from a sample of about ``SAMPLE_PER_RANGE`` rows a range, fewer where there are many ranges."""
         keys = df.select(h.alias("h"), s.cast("long").alias("s")).na.drop()
         rows = keys.count()
         if n < 2 or not rows:
             return cls([], [])
-        want = n * SAMPLE_PER_RANGE
+        want = max(4 * n, min(n * SAMPLE_PER_RANGE, SAMPLE_MOST))
         drawn = keys.sample(min(1.0, want / rows), seed=7).limit(2 * want).toPandas().sort_values(["h", "s"])
         if not len(drawn):
             return cls([], [])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ranges import Ranges
-from touchline.session import materialise, parallelism
+from touchline.session import materialise, pieces
 
 
 def orphan_references(
@@ -28,7 +28,6 @@ def orphan_references(
     rows / ``hot`` such keys.
     """
     spark = refs.sparkSession
-    n = ranges or parallelism(spark)
     kept = refs.columns
     refs = materialise(refs.filter("key is not null").withColumn("_h", F.xxhash64("key")), "refs")
     many = refs.groupBy("_h").count().filter(F.col("count") > hot).select("_h")
@@ -49,6 +48,7 @@ def orphan_references(
         up = parents.withColumn("_h", F.xxhash64("key")).withColumn("_salt", F.lit(0))
     refs = refs.withColumn("_g", hashed(F.col("_salt"))).drop("_h", "_salt")
     up = up.withColumn("_g", hashed(F.col("_salt")))
+    n = ranges or pieces(refs)
     bounds = Ranges.draw(refs, F.col("_g"), F.lit(0), n)
     nothing = {c: F.lit(None).cast(refs.schema[c].dataType) for c in kept if c not in ("key",)}
     # a missing time makes nothing late

@@ -74,3 +74,8 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+
+
+def pieces(df: DataFrame, rows: int = 1_000_000) -> int:
+    """Ranges for a table whose ranges are held by a task one at a time: about ``rows`` rows each, at least ``parallelism``."""
+    return max(parallelism(df.sparkSession), -(-df.count() // rows))
