@@ -239,6 +239,18 @@ def _covered(part: list[tuple[int, int, int]]) -> int:
     return total
 
 
+#: The last automaton built in this driver, by its passages.
+_BUILT: dict[tuple, Automaton] = {}
+
+
+def _automaton(held_out: list[tuple]) -> Automaton:
+    key = tuple(held_out)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(held_out)
+    return _BUILT[key]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, text: str, item: str, passage: str, spec: LeakSpec = LeakSpec()) -> DataFrame:
     """The passages of ``items`` that stand wholly or in part in the texts of ``docs``.
 
@@ -253,7 +265,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, text: str, item:
     if len(rows) > spec.max_items:
         raise ValueError(f"more than {spec.max_items} passages")
     held_out = sorted((r[0], r[1]) for r in rows if words(r[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(held_out))  # grows with the passages only
+    shared = docs.sparkSession.sparkContext.broadcast(_automaton(held_out))  # grows with the passages only
     kind = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
 
     def scan(batches):  # noqa: ANN001
