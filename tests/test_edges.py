@@ -83,3 +83,24 @@ def test_contract(spark):
     con = connect(SMALL)
     for name in ("association_state", "pass_candidates", "trajectory_segments", "p4_found", "p5_found", "p6_found", "grid_value", "transit_runs"):
         assert compare(spark, con, name, SMALL)[0].startswith("ok"), name
+
+
+def test_sources_masks_files_and_events(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("frame,field_polygon,status\n1,\"0,0;1,0;1,1\",a\n1,\"0,0;2,0;2,2\",b\n2,,c\n")
+    masks = files.current_masks(files.read_csv(spark, str(tmp_path / "m.csv"), files.SCHEMAS["field_masks"]), order="status").collect()
+    assert [(m["frame"], m["status"], m["strict_field_polygon"]) for m in masks] == [(1, "b", "0,0;2,0;2,2")]
+    both = files.read_sources(spark, [f"x:{tmp_path}/m.csv", f"y:{tmp_path}/m.csv"], "frame int")
+    assert both.groupBy("venue").count().count() == 2
+    (tmp_path / "pics").mkdir()
+    for name in ("b.JPG", "a.png", "c.txt"):
+        (tmp_path / "pics" / name).write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in files.find_files(spark, str(tmp_path / "pics"), (".jpg", ".png")).collect()] == ["a.png", "b.JPG"]
+    raw = spark.createDataFrame([(1, 1, "00:12:34.567", "home", "p", "Pass", 1.0, 2.0, 3.0, 4.0, None, 7, "e1")], "match_id int, period int, timestamp string, team_name string, player_name string, type_name string, x double, y double, end_x double, end_y double, outcome_name string, possession int, id string")
+    e = files.standard_events(raw).first()
+    assert (e["event_type"], e["outcome"], e["time_seconds"]) == ("pass", "successful", pytest.approx(754.567)) and len(e) == 14
+    odd = spark.createDataFrame([("cat", 0.9), ("Ball", 0.1), ("ball", None)], "object_type string, confidence double")
+    assert files.detections(odd, least=0.2).count() == 1
+    segs = spark.createDataFrame([("possession_0001", "7.0", 1.0, 2.0), ("possession_0002", "8", 2.0, 2.0)], "segment_id string, player_id string, start_time double, end_time double")
+    assert [(r["id"], r["player"], r["confidence"]) for r in files.labels_from_segments(segs).collect()] == [("possession_0001", "7", 0.25)]
+    loose = spark.createDataFrame([("1", "2.5", None, None, None), ("x", "2", "s", "0.5", 2)], "start string, end string, state string, confidence string, half int")
+    assert [(r["start"], r["state"], r["confidence"], r["half"]) for r in files.normal_segments(loose).collect()] == [(1.0, "unknown", 1.0, 1)]
