@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -193,6 +194,54 @@ def test_player_tracks_follow_and_number_on(spark):
     assert stateful.track_players(spark.createDataFrame([], schema), by=["clip"]).count() == 0
 
 
+def all_pairs_matches(tracks, seen, boxes, frame, spec):
+    pairs = []
+    for i, t in enumerate(tracks):
+        for j, b in enumerate(boxes):
+            (_, _, _, d, allowed, iou), = stateful.match_frame(t[None], seen[i : i + 1], b[None], frame, spec) or [(0, 0, 0.0, 0.0, 0.0, None)]
+            if iou is not None:
+                ta, ba = (np.maximum(1.0, (q[2] - q[0]) * (q[3] - q[1])) for q in (t, b))
+                score = d / allowed + (1 - iou) * 0.35 + np.minimum(1.0, abs(np.log(np.maximum(ta, ba) / np.minimum(ta, ba)))) * 0.20
+                pairs.append((np.inf if np.isnan(score) else score, d, -iou, i, j))
+    out, used_t, used_b = [], set(), set()
+    for _, _, _, i, j in sorted(pairs):
+        if i not in used_t and j not in used_b:
+            used_t.add(i), used_b.add(j)
+            out.append((i, j))
+    return out
+
+
+def test_crowded_frames_match_as_all_pairs_do():
+    rng, spec = np.random.default_rng(5), stateful.PlayerTrackSpec()
+    for spread in (60, 900):
+        for odd in (False, True):
+            def some(n):
+                x, y, w, h = rng.integers(0, spread, n) * 1.0, rng.integers(0, spread, n) * 1.0, rng.integers(5, 40, n), rng.integers(10, 90, n)
+                b = np.stack([x - w / 2, y - h, x + w / 2, y, x, y], 1)
+                if odd:
+                    b[0, 1] -= 500.0  # one tall box
+                    b[1, 0] = np.nan
+                    b[2, 4:] += 300.0  # feet far from the box
+                return b
+            tracks, boxes, seen = some(70), some(90), rng.integers(1, 9, 70)
+            want = all_pairs_matches(tracks, seen, boxes, 10, spec)
+            for most in (7, 100, 2000, 1_000_000):
+                got = [m[:2] for m in stateful.match_frame(tracks, seen, boxes, 10, spec, most)]
+                assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_player_tracks_keep_the_crowded_frame(spark, tmp_path):
+    from touchline.plans import automata
+
+    spot = lambda f, k: ("v", f, k, 0.9, 100.0 * k, 100.0, 100.0 * k + 20, 150.0, 100.0 * k + 10 + f, 150.0, 1)
+    rows = [spot(0, 1), *[spot(1, k) for k in range(1, 91)], spot(2, 1), spot(2, 80)]
+    schema = "video string, frame int, player_id int, confidence double, x1 double, y1 double, x2 double, y2 double, foot_x double, foot_y double, loaded_at int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/player_detections.parquet")
+    t = {(r["frame"], r["player_id"]): r for r in automata.player_tracks(spark, str(tmp_path)).collect()}
+    assert len(t) == len(rows)
+    assert len({t[f, 1]["track_id"] for f in (0, 1, 2)}) == 1 and t[1, 80]["track_id"] == t[2, 80]["track_id"] and t[2, 1]["track_age"] == 3
+
+
 def test_ball_tracker_resets_and_rejects():
     row = lambda f, x, c=0.9, k=0: {"row": k, "frame": f, "confidence": c, "center_x": x, "center_y": 0.0, "box_size": 10.0, "player_penalty": 0.0}
     t = stateful.BallTracker(stateful.BallTrackSpec())

@@ -250,31 +250,83 @@ class PlayerTrackSpec:
     least_iou: float = 0.02
 
 
-def match_frame(tracks: np.ndarray, seen: np.ndarray, boxes: np.ndarray, frame: int, spec: PlayerTrackSpec) -> list[tuple]:
+def near_pairs(tracks: np.ndarray, reach: np.ndarray, boxes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Portions of about ``most`` (track, box) pairs that hold all pairs whose feet are within the track's ``reach`` or whose boxes overlap.
+
+    Crowded frames are cut into strips of equal numbers of boxes by foot_y, searched by foot_x in each.
+    """
+    n, m = len(tracks), len(boxes)
+    if n * m <= most:
+        yield np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        return
+    x, y = boxes[:, 4], boxes[:, 5]
+    left, up, right, down = (np.fmax.reduce(d, initial=0.0) for d in (x - boxes[:, 0], y - boxes[:, 1], boxes[:, 2] - x, boxes[:, 3] - y))
+    slack = 1e-6 + 1e-9 * (np.abs(tracks[:, 4]) + np.abs(tracks[:, 5]) + reach)  # for rounding; the exact test follows
+    x_from, x_to = np.fmin(tracks[:, 4] - reach, tracks[:, 0] - right) - slack, np.fmax(tracks[:, 4] + reach, tracks[:, 2] + left) + slack
+    y_from, y_to = np.fmin(tracks[:, 5] - reach, tracks[:, 1] - down) - slack, np.fmax(tracks[:, 5] + reach, tracks[:, 3] + up) + slack
+    by_y, high = np.argsort(y, kind="stable"), max(1, math.isqrt(m))
+    for k in range(0, m, high):
+        strip = by_y[k : k + high]
+        t = np.nonzero((y_from <= y[strip[-1]]) & (y_to >= y[strip[0]]))[0]
+        strip = strip[np.argsort(x[strip], kind="stable")]
+        first = np.searchsorted(x[strip], x_from[t])
+        number = np.maximum(np.searchsorted(x[strip], x_to[t], "right") - first, 0)
+        portion = np.cumsum(number) // most
+        for q in np.unique(portion):
+            own = portion == q
+            c = number[own]
+            yield np.repeat(t[own], c), strip[np.repeat(first[own] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+
+
+def match_frame(tracks: np.ndarray, seen: np.ndarray, boxes: np.ndarray, frame: int, spec: PlayerTrackSpec, most: int = 1_000_000) -> list[tuple]:
     """Greedy one-to-one matches (track, box, score, distance, allowed, iou), best score first.
 
-    A box is x1, y1, x2, y2, foot_x, foot_y; ``seen`` is each track's last frame.
+    A box is x1, y1, x2, y2, foot_x, foot_y; ``seen`` is each track's last frame. About ``most`` pairs are held at a time, the best ones:
+    where a frame has more, they are matched first, then the next best of what is left, so the matches don't depend on ``most``.
     """
-    gap = np.maximum(1, frame - seen)[:, None]
-    t, b = tracks[:, None, :], boxes[None, :, :]
+    gap = np.maximum(1, frame - seen)
     size = lambda q: np.stack([q[..., 2] - q[..., 0], q[..., 3] - q[..., 1]], -1)
-    ts, bs = size(t), size(b)
-    dist = np.sqrt((b[..., 4] - t[..., 4]) ** 2 + (b[..., 5] - t[..., 5]) ** 2)
-    allowed = spec.distance + gap * np.maximum(12.0, np.maximum(np.maximum(ts[..., 1], bs[..., 1]), 1.0) * 0.45)
-    inter = np.maximum(np.minimum(t[..., 2], b[..., 2]) - np.maximum(t[..., 0], b[..., 0]), 0) * np.maximum(np.minimum(t[..., 3], b[..., 3]) - np.maximum(t[..., 1], b[..., 1]), 0)
     area = lambda s: np.maximum(s[..., 0], 0) * np.maximum(s[..., 1], 0)
-    union = area(ts) + area(bs) - inter
-    overlap = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
-    ta, ba = np.maximum(1.0, ts.prod(-1)), np.maximum(1.0, bs.prod(-1))
-    score = dist / allowed + (1 - overlap) * 0.35 + np.minimum(1.0, np.abs(np.log(np.maximum(ta, ba) / np.minimum(ta, ba)))) * 0.20
-    i, j = np.nonzero((dist <= allowed) | (overlap >= spec.least_iou))
-    order = np.lexsort((j, i, -overlap[i, j], dist[i, j], score[i, j]))
-    out, used_t, used_b = [], set(), set()
-    for k in order:
-        a, c = int(i[k]), int(j[k])
-        if a not in used_t and c not in used_b:
-            used_t.add(a), used_b.add(c)
-            out.append((a, c, float(score[a, c]), float(dist[a, c]), float(allowed[a, c]), float(overlap[a, c])))
+
+    def measured(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        t, b = tracks[i], boxes[j]
+        ts, bs = size(t), size(b)
+        dist = np.sqrt((b[..., 4] - t[..., 4]) ** 2 + (b[..., 5] - t[..., 5]) ** 2)
+        allowed = spec.distance + gap[i] * np.maximum(12.0, np.maximum(np.maximum(ts[..., 1], bs[..., 1]), 1.0) * 0.45)
+        inter = np.maximum(np.minimum(t[..., 2], b[..., 2]) - np.maximum(t[..., 0], b[..., 0]), 0) * np.maximum(np.minimum(t[..., 3], b[..., 3]) - np.maximum(t[..., 1], b[..., 1]), 0)
+        union = area(ts) + area(bs) - inter
+        overlap = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+        ta, ba = np.maximum(1.0, ts.prod(-1)), np.maximum(1.0, bs.prod(-1))
+        score = dist / allowed + (1 - overlap) * 0.35 + np.minimum(1.0, np.abs(np.log(np.maximum(ta, ba) / np.minimum(ta, ba)))) * 0.20
+        can = (dist <= allowed) | (overlap >= spec.least_iou)
+        return [v[can] for v in (i, j, score, dist, allowed, overlap)]
+
+    def best(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        i, j, score, dist, allowed, overlap = map(np.concatenate, zip(*parts))
+        order = np.lexsort((j, i, -overlap, dist, score))[:most]
+        return [v[order] for v in (i, j, score, dist, allowed, overlap)]
+
+    out, free_t, free_b = [], np.arange(len(tracks)), np.arange(len(boxes))
+    while len(free_t) and len(free_b):
+        tallest = np.fmax.reduce(size(boxes[free_b])[:, 1], initial=1.0)
+        reach = spec.distance + gap[free_t] * np.maximum(12.0, np.maximum(size(tracks[free_t])[:, 1], tallest) * 0.45)
+        parts, held, cut = [], 0, False
+        for i, j in near_pairs(tracks[free_t], reach, boxes[free_b], most):
+            parts.append(measured(free_t[i], free_b[j]))
+            held += len(parts[-1][0])
+            if held > 2 * most:
+                parts, held, cut = [best(parts)], most, True
+        if not held:
+            break
+        cut |= held > most
+        used_t, used_b = set(), set()
+        for a, c, *rest in zip(*(v.tolist() for v in best(parts))):
+            if a not in used_t and c not in used_b:
+                used_t.add(a), used_b.add(c)
+                out.append((a, c, *rest))
+        if not cut:
+            break
+        free_t, free_b = np.setdiff1d(free_t, list(used_t)), np.setdiff1d(free_b, list(used_b))
     return out
 
 
@@ -285,8 +337,9 @@ def track_players(df: DataFrame, *, by: list[str], player: str = "player_id", sp
     ids are numbered on over the parts.
     """
     kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-    frames = df.select(*by, "frame").distinct()
-    parts = islands(frames, by=by, order="frame", max_gap=spec.missing_frames + 1, name="_part").select(*by, "frame", "_part")
+    df = materialise(df.select(*by, "frame", player, "confidence", "x1", "y1", "x2", "y2", "foot_x", "foot_y"), "detections")
+    frames = materialise(df.select(*by, "frame").distinct(), "frames")
+    parts = materialise(islands(frames, by=by, order="frame", max_gap=spec.missing_frames + 1, name="_part").select(*by, "frame", "_part"), "parts")
     cut = df.join(parts, [*by, "frame"])
 
     def machine():  # noqa: ANN202
@@ -328,7 +381,7 @@ def track_players(df: DataFrame, *, by: list[str], player: str = "player_id", sp
 
     cols = cut.select(*by, "_part", "frame", F.col(player).alias("_player"), "confidence", "x1", "y1", "x2", "y2", "foot_x", "foot_y")
     schema = f"{kinds}, _part long, frame int, {player} {df.schema[player].dataType.simpleString()}, local_track long, match_score double, match_distance_px double, match_allowed_px double, match_iou double, track_age int, track_status string"
-    tracked = stream_groups(cols, machine, by=[*by, "_part"], order=["frame", F.desc("confidence"), "_player"], schema=schema, finish=True)
+    tracked = materialise(stream_groups(cols, machine, by=[*by, "_part"], order=["frame", F.desc("confidence"), "_player"], schema=schema, finish=True), "tracked")
     many = tracked.groupBy(*by, "_part").agg(F.max("local_track").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     many = many.select(*by, "_part", offset.alias("_offset"))

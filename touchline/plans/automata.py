@@ -47,10 +47,8 @@ def ball_path_legacy(s: SparkSession, d: str) -> DataFrame:
 
 
 def player_tracks(s: SparkSession, d: str) -> DataFrame:
-    """Tracks of all players in frames of up to 60 players; more crowded frames are stills of a wide camera, not of play."""
-    p = views.players(s, d)
-    crowded = p.groupBy("video", "frame").agg(F.count(F.lit(1)).alias("n")).filter("n > 60").select("video", "frame")
-    t = stateful.track_players(p.join(crowded, ["video", "frame"], "left_anti"), by=["video"])
+    """Tracks of all players in all frames, however crowded."""
+    t = stateful.track_players(views.players(s, d), by=["video"])
     return t.select("video", "frame", "player_id", "track_id", "track_status", "track_age", F.round("match_score", 6).alias("match_score"))
 
 
