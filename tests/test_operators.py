@@ -264,6 +264,23 @@ def test_votes_and_selection(spark):
     assert {(r["frame"], r["source_frame"]) for r in out} == {(0, 5), (5, 5), (8, 5)}
 
 
+def ball_tables(spark, folder, readings):
+    """Tables with ball readings (detection_id, video, frame, confidence, center_x, center_y), and without players and associations."""
+    rows = [(i, v, f, c, x - 5.0, y - 5.0, x + 5.0, y + 5.0, x, y, 1) for i, v, f, c, x, y in readings]
+    kinds = "x1 double, y1 double, x2 double, y2 double, center_x double, center_y double, loaded_at int"
+    spark.createDataFrame(rows, f"detection_id long, video string, frame int, confidence double, {kinds}").write.parquet(f"{folder}/ball_detections.parquet")
+    for t in ("player_detections", "association"):
+        spark.createDataFrame([("b", 130)], "video string, frame int").write.parquet(f"{folder}/{t}.parquet")
+
+
+def test_neighbour_frames_end_with_their_video(spark, tmp_path):
+    from touchline.plans import reference
+
+    ball_tables(spark, tmp_path, [(1, "a", 30000, 0.1, 9.0, 9.0), (2, "a", 30020, 0.1, 9.0, 9.0), (3, "a", 30050, 0.9, 9.0, 9.0), (4, "b", 100, 0.1, 9.0, 9.0)])
+    got = {tuple(r) for r in reference.neighbour_frames(spark, str(tmp_path)).collect()}
+    assert got == {("a", 29940, 30000), ("a", 30000, 30000), ("a", 30050, 30020), ("a", 29960, 30020), ("a", 30020, 30020), ("b", 40, 100), ("b", 100, 100), ("b", 130, 100)}
+
+
 def test_values_and_outcomes(spark):
     acts = spark.createDataFrame([("p", "pass", 0.0, 0.0, 105.0, 68.0), ("p", "carry", 50.0, 30.0, None, 1.0), ("q", "shot", 1.0, 1.0, 1.0, 1.0)], "player string, event_type string, start_x double, start_y double, end_x double, end_y double")
     kept = value.static_values(value.actions_only(acts), [[0.0, 0.1], [0.2, 0.5]])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -545,7 +546,12 @@ def frame_sample(s, d):  # noqa: ANN001, ANN201
 @query(with_views("balls") + """, e AS (SELECT video, least(greatest(frame + o, 0), 20000) AS frame, frame AS source_frame, o FROM balls, (VALUES (-60), (0), (60)) x(o) WHERE confidence < 0.25), r AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY source_frame DESC, o DESC) AS q FROM e)
 SELECT video, frame, source_frame FROM r WHERE q = 1""")
 def neighbour_frames(s, d):  # noqa: ANN001, ANN201
-    return select.expand_offsets(_b(s, d).filter("confidence < 0.25"), [-60, 0, 60], 20000, by=V).select("video", "frame", "source_frame")
+    """Clamped to the video's own last frame, the greatest one in any delivery of its ball readings, players and associations; the SQL still clamps all videos to 20000."""
+    from touchline.sources.tables import table
+
+    last = reduce(DataFrame.union, [table(s, d, t, "video", "frame") for t in ("ball_detections", "player_detections", "association")]).groupBy("video").agg(F.max("frame").alias("last"))
+    low = _b(s, d).filter("confidence < 0.25").join(last, V)
+    return select.expand_offsets(low, [-60, 0, 60], F.col("last"), by=V).select("video", "frame", "source_frame")
 
 
 @query(with_views("balls") + """, g AS (SELECT *, time_seconds - lag(time_seconds) OVER (PARTITION BY video ORDER BY time_seconds, detection_id) AS gap FROM balls), f AS (SELECT video, detection_id, CAST(floor(greatest(time_seconds - gap - 2, 0) * 2) AS BIGINT) AS a, CAST(floor((time_seconds + 2) * 2) AS BIGINT) AS b FROM g WHERE gap >= 2)
