@@ -281,6 +281,15 @@ def test_neighbour_frames_end_with_their_video(spark, tmp_path):
     assert got == {("a", 29940, 30000), ("a", 30000, 30000), ("a", 30050, 30020), ("a", 29960, 30020), ("a", 30020, 30020), ("b", 40, 100), ("b", 100, 100), ("b", 130, 100)}
 
 
+def test_expected_threat_counts_places_of_larger_pictures(spark, tmp_path):
+    from touchline.plans import reference
+
+    # 33 is a shot and a goal, 44 a shot from a place that cannot be
+    ball_tables(spark, tmp_path, [(32, "a", 0, 0.9, 3000.0, 500.0), (33, "a", 3, 0.9, 3100.0, 510.0), (43, "b", 0, 0.9, 99999.0, 500.0), (44, "b", 3, 0.9, 100.0, 500.0)])
+    got = {(r["row"], r["col"]): r["value"] for r in reference.expected_threat(spark, str(tmp_path)).collect()}
+    assert len(got) == 192 and got.pop((5, 15)) == pytest.approx(1.0) and not any(got.values())
+
+
 def test_values_and_outcomes(spark):
     acts = spark.createDataFrame([("p", "pass", 0.0, 0.0, 105.0, 68.0), ("p", "carry", 50.0, 30.0, None, 1.0), ("q", "shot", 1.0, 1.0, 1.0, 1.0)], "player string, event_type string, start_x double, start_y double, end_x double, end_y double")
     kept = value.static_values(value.actions_only(acts), [[0.0, 0.1], [0.2, 0.5]])

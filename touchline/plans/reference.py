@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.geometry import fit_homography, in_polygon, project, within_field
-from touchline.operators import associate, evaluate, motion, possession, quality, select, value, votes
+from touchline.operators import associate, evaluate, motion, possession, quality, select, spikes, value, votes
 from touchline.operators.sequence import neighbours
 from touchline.plans import views
 from touchline.plans.views import FPS, STRICT, with_views
@@ -441,7 +441,10 @@ def binned_value(s, d):  # noqa: ANN001, ANN201
 
 @query()
 def expected_threat(s, d):  # noqa: ANN001, ANN201
-    steps = _steps(s, d).filter("start_x between 0 and 1920 and end_x between 0 and 1920 and start_y between 0 and 1080 and end_y between 0 and 1080")
+    """Fitted on the steps of grid_value: places beyond 1920 x 1080 count in the border cells. Only steps from or to a place outside any picture, as p3 has it, are left out."""
+    place = spikes.ChartSpec()
+    possible = reduce(Column.__and__, [F.col(c).between(place.place_min, place.place_max) for c in ("start_x", "start_y", "end_x", "end_y")])
+    steps = _steps(s, d).filter(possible)
     steps = steps.withColumns({"event_type": F.when(F.pmod("detection_id", F.lit(11)) == 0, "shot").otherwise(F.col("event_type")), "success": F.col("end_x") >= F.col("start_x"), "goal": F.pmod("detection_id", F.lit(33)) == 0})
     surface = value.fit_expected_threat(steps, length=1920.0, width=1080.0)
     return s.createDataFrame([(r, c, float(v)) for r, row in enumerate(surface) for c, v in enumerate(row)], "row int, col int, value double")
