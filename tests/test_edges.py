@@ -104,3 +104,13 @@ def test_sources_masks_files_and_events(spark, tmp_path):
     assert [(r["id"], r["player"], r["confidence"]) for r in files.labels_from_segments(segs).collect()] == [("possession_0001", "7", 0.25)]
     loose = spark.createDataFrame([("1", "2.5", None, None, None), ("x", "2", "s", "0.5", 2)], "start string, end string, state string, confidence string, half int")
     assert [(r["start"], r["state"], r["confidence"], r["half"]) for r in files.normal_segments(loose).collect()] == [(1.0, "unknown", 1.0, 1)]
+
+
+def test_stream_rates_cover_the_whole_table(spark):
+    from touchline.plans import pipelines
+
+    e = spark.read.parquet(f"{SMALL}/events.parquet").filter("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = e.groupBy("event_type", F.window("ts", "2 days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    want = {(r["event_type"], r["w"]["start"], r["w"]["end"]): (r["n"], r["total"]) for r in want.collect()}
+    got = {(r["event_type"], r["start"], r["end"]): (r["n"], r["total"]) for r in pipelines.stream_rates(spark, SMALL).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

@@ -58,18 +58,27 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
 
 
 def run_stream(df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now into a table in the shared folder, and reads it."""
+    """Runs a stream over what is there now into a table in the shared folder, and reads it.
+
+    In append mode windows that the watermark hasn't passed at the end are left out; complete mode has them too.
+    """
     s = df.sparkSession
     base = f"{shared_dir(s)}/touchline-{tag}-{uuid.uuid4().hex}"
-    df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "complete":  # the file sink only appends; each batch is the whole result
+        s.createDataFrame([], df.schema).write.parquet(f"{base}/out")
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out"))
+    else:
+        w = w.format("parquet").option("path", f"{base}/out")
+    w.start().awaitTermination()
     return s.read.schema(df.schema).parquet(f"{base}/out")
 
 
 def stream_rates(s: SparkSession, d: str) -> DataFrame:
-    """Sliding event rates, run as a stream over the events table."""
+    """Sliding event rates of the whole events table, also of the windows still open at its end, run as a stream."""
     src = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     e = src.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return run_stream(live.windowed_rates(e, key="event_type", ts="ts", value="value", size="2 days", slide="1 day", late="1 hour"), "rates")
+    return run_stream(live.windowed_rates(e, key="event_type", ts="ts", value="value", size="2 days", slide="1 day", late="1 hour"), "rates", "complete")
 
 
 QUERIES = {f.__name__: f for f in (clip_pipeline, control_sweep, event_sessions, stream_rates)}
