@@ -42,6 +42,17 @@ def test_spikes_stuck_and_limits(spark):
         assert {k: v for k, v in got.items()} == {k: {v} for k, v in want.items()}, block
 
 
+def test_spikes_of_a_source_that_rests(spark):
+    still = [[i, "a", i, 100.0, 100.0, 0.0, "q"] for i in range(100)]
+    still[40][3], still[70][5] = 160.0, 500.0
+    moves = [[1000 + i, "b", i, 100.0 + 5 * max(0, i - 70), 100.0, 10.0 if i > 70 else 0.0, "q"] for i in range(100)]
+    moves[30][4], moves[85][4], moves[90][3] = 400.0, 130.0, 900.0
+    moves[50][5], moves[88][5], moves[92][5] = 900.0, 120.0, 800.0
+    got = flags(spark, [tuple(r) for r in still + moves])
+    of = lambda reason: {k for k, v in got.items() if reason in v}
+    assert of("place_spike") == {40, 1030, 1090} and of("rate_spike") == {70, 1050, 1092}
+
+
 def test_gap_move_and_missing_ticks(spark):
     rows = walk(400)
     for i in range(200, 400):

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.ids import finite
@@ -25,6 +25,9 @@ class ChartSpec:
     readings may be away together. ``min_stuck`` equal readings make a stuck stretch. The chart
     starts anew after ``max_gap`` ticks without a reading, which is also how far a block looks to
     either side of its own ticks, so that blocks give what one pass over the source would.
+
+    A source that rests for more than half of its readings has a median of 0; its usual motion and rate are then the medians of those
+    above 0 if at least the share ``moving`` is, else ``least_usual``: spikes alone don't make what is usual.
     """
 
     suspect: float = 8.0
@@ -40,6 +43,8 @@ class ChartSpec:
     place_max: float = 20000.0
     rate_min: float = 0.0
     rate_max: float = 100000.0
+    moving: float = 0.1
+    least_usual: float = 1.0
     accuracy: int = field(default=10000)
 
 
@@ -175,8 +180,13 @@ def flag_implausible(
     order = Window.partitionBy("src", "blk").orderBy("tick", "k")
     moved = one.filter(sane).select("src", "blk", F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)).alias("step"), (F.col("tick") - F.lag("tick").over(order)).alias("dt"))
     rated = one.filter(F.col("rate").between(spec.rate_min, spec.rate_max))
-    usual = moved.filter("step is not null").groupBy("src").agg(F.percentile_approx("step", 0.5, spec.accuracy).alias("usual"), F.percentile_approx(F.try_divide("step", "dt"), 0.5, spec.accuracy).alias("pace"))
-    rates = rated.groupBy("src").agg(F.percentile_approx("rate", 0.5, spec.accuracy).alias("usual_rate"))
+
+    def typical(c: Column) -> Column:
+        middle, above = (F.percentile_approx(v, 0.5, spec.accuracy) for v in (c, F.when(c > 0, c)))
+        return F.when(middle > 0, middle).when(F.count_if(c > 0) >= spec.moving * F.count(c), above).otherwise(spec.least_usual)
+
+    usual = moved.filter("step is not null").groupBy("src").agg(typical(F.col("step")).alias("usual"), typical(F.try_divide("step", "dt")).alias("pace"))
+    rates = rated.groupBy("src").agg(typical(F.col("rate")).alias("usual_rate"))
     # one row a block carries what is usual for its source, so the readings themselves need no join
     blocks = one.groupBy("src", "blk").agg(F.min("k").alias("k"))  # a key without null keeps its type
     header = blocks.join(usual, "src", "left").join(rates, "src", "left").select(
