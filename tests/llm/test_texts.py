@@ -25,6 +25,16 @@ def test_automaton_equals_brute_force():
         assert a.matches(t, 5) == want
 
 
+def test_automaton_of_very_long_passages():
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(65_600))
+    for n in (65_534, 65_600):  # the length that goes on, plus two, is 65,536 or more
+        a = Automaton([(1, long[:n] + "x" * 20), (2, "q" + long[:n] + "z" * 20)])
+        t = "q" + long[:n] + "x" * 20
+        assert a.matches(t, 18) == [(n + 1, n + 1), (n + 21, n + 20)]
+        assert {k: run for k, (run, _) in a.leaked(t, LeakSpec()).items()} == {1: 1, 2: 0}
+
+
 def leaks(spark, docs, items, **kw):
     d, i = spark.createDataFrame(docs, "doc_id long, text string, item string"), spark.createDataFrame(items, "item_id long, passage string, text string")
     return {(r["doc_id"], r["item_id"]) for r in find_leaks(d, i, doc="doc_id", text="text", item="item_id", passage="passage", **kw).collect()}

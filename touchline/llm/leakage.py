@@ -118,7 +118,8 @@ class Automaton:
             for c in text.encode().translate(_CODES):
                 last = extend(last, c)
         table = np.array(step, dtype=np.int32)
-        cut = np.zeros(table.shape, dtype=np.uint16)
+        wide = max(length) + 2 > np.iinfo(np.uint16).max  # a passage of more than 65,533 characters
+        cut = np.zeros(table.shape, dtype=np.uint32 if wide else np.uint16)
         missing = table[0] < 0
         table[0][missing], cut[0][missing] = 0, 1
         for s in np.argsort(np.array(length), kind="stable")[1:]:
@@ -127,7 +128,7 @@ class Automaton:
             table[s][missing] = table[up][missing]
             cut[s][missing] = np.where(cut[up][missing] > 0, cut[up][missing], length[up] + 2)
         self.step = array("i", (table.ravel() * _WIDTH).tobytes())
-        self.cut = array("H", cut.ravel().tobytes())
+        self.cut = array("I" if wide else "H", cut.ravel().tobytes())
 
     def matches(self, text: str, least: int) -> list[tuple[int, int]]:
         """(end, length) of every maximal match of at least ``least`` characters, in reading order."""
