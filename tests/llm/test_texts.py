@@ -156,3 +156,15 @@ def test_subjects_held_out(spark):
     assert tag_subjects(d, lab.limit(0), areas, doc="doc_id", text="text", subject="subject").count() == 0
     assert tag_subjects(d, lab, areas.limit(0), doc="doc_id", text="text", subject="subject").count() == 0
     assert tag_subjects(d.limit(0), lab, areas, doc="doc_id", text="text", subject="subject").count() == 0
+
+
+def test_subjects_named_in_any_spelling(spark):
+    docs, truth = corpus(random.Random(3), 300)
+    d = spark.createDataFrame(docs, "doc_id long, text string, subject string")
+    plain, odd = {"law": "match_law", "sport": "sport", "tech": "tech"}, {"law": "Match Law", "sport": "sport ", "tech": "TECH"}
+    lab = spark.createDataFrame([(i, plain[s]) for i, t in enumerate(truth) for s in t], "doc_id long, subject string")
+    tags = lambda names, **kw: {(r["doc_id"], r["subject"]) for r in tag_subjects(d, lab, spark.createDataFrame([(n,) for n in names], "subject string"), doc="doc_id", text="text", subject="subject", spec=SubjectSpec(**kw)).collect()}
+    found, spelled = tags(plain.values()), tags([*odd.values(), "match-law"])
+    assert len(found) > 100 and spelled == {(i, {v: odd[k] for k, v in plain.items()}[s]) for i, s in found}
+    with pytest.raises(ValueError):
+        tags(plain.values(), max_areas=2)

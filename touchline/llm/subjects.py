@@ -28,6 +28,7 @@ class SubjectSpec:
     the labels is taken."""
 
     max_train: int = 12_000
+    max_areas: int = 10_000
     min_sentences: int = 3
     long: int = 22
     passes: int = 4
@@ -230,19 +231,24 @@ def train(texts: list[str], labels: list[set[int]], subjects: list[str], spec: S
 def tag_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, doc: str, text: str, subject: str, spec: SubjectSpec = SubjectSpec()) -> DataFrame:
     """The subjects of every document, as doc, subject and n_sentences; documents without subject have no row.
 
-    ``labels`` has doc and subject, in any case and with blanks, "-" or "_" between words; labels that
+    ``labels`` has doc and subject, in any case and with blanks, "-" or "_" between words, and so may ``areas``, whose spelling is returned (of
+    several spellings of one area the smallest); at most ``spec.max_areas`` areas (more raise an error). Labels that
     ``areas`` lacks, null labels and repeated ones don't count. Null or empty texts have no subject. No labels or no areas give no rows. Extra columns are ignored.
 
     Models are fitted on at most ``spec.max_train`` labelled documents, drawn by hash; every document is then read whole, once, without a shuffle.
     """
     spark = docs.sparkSession
-    names = sorted(r[0] for r in areas.select(subject).filter(F.col(subject).isNotNull()).distinct().limit(10_000).collect())
     plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", "_")
-    told = labels.select(F.col(doc).alias("d"), plain(F.col(subject)).alias("s")).filter(F.col("d").isNotNull() & F.col("s").isin([n.lower() for n in names]))
+    known = areas.filter(F.col(subject).isNotNull()).groupBy(plain(F.col(subject)).alias("p")).agg(F.min(subject).alias("s")).limit(spec.max_areas + 1).collect()
+    if len(known) > spec.max_areas:
+        raise ValueError(f"more than {spec.max_areas} areas")
+    known.sort(key=lambda r: r["s"])
+    names = [r["s"] for r in known]
+    told = labels.select(F.col(doc).alias("d"), plain(F.col(subject)).alias("s")).filter(F.col("d").isNotNull() & F.col("s").isin([r["p"] for r in known]))
     told = told.groupBy("d").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("d", F.lit(spec.seed))).limit(spec.max_train)
     texts = docs.filter(F.col(doc).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc).alias("d"), F.col(text).alias("t"))
     sample = texts.join(F.broadcast(told), "d").toPandas().sort_values("d")  # at most max_train documents
-    number = {n.lower(): i for i, n in enumerate(names)}
+    number = {r["p"]: i for i, r in enumerate(known)}
     models = train(sample["t"].tolist(), [{number[x] for x in s} for s in sample["s"]], names, spec)
     kind = docs.schema[doc].dataType.simpleString()
     schema = f"d {kind}, s string, n long"
