@@ -72,6 +72,54 @@ def test_repeated_delivery_large_keys_and_empty(spark):
     assert flags(spark, [(1, "a", 1, None, None, None, "")]) == {}
 
 
+def test_blocks_equal_one_pass(spark):
+    rng = random.Random(9)
+    rows, stuck = [], set()
+    for clip, step in (("dense", 1), ("sparse", 250), ("bursts", 0)):
+        f, still, held = 0, 0, None
+        for i in range(1500):
+            f += step or rng.choice([0, 1, 1, 2, 700])
+            x, y, v = 500 + 40 * math.sin(i / 30) + rng.gauss(0, 1), 300 + rng.gauss(0, 1), abs(rng.gauss(20, 4))
+            if rng.random() < 0.02 and not still:
+                still, held = rng.choice([4, 5, 6, 7, 30, 140]), v
+            if still:
+                still -= 1
+                v = held
+            if rng.random() < 0.03:
+                x += 300
+            if rng.random() < 0.03:
+                v *= rng.choice([14, 17, 60])
+            rows.append((len(rows), clip, f, None if rng.random() < 0.05 else x, y, None if rng.random() < 0.1 else v, ""))
+    rows += [(90_000, "one", 1, 5.0, 5.0, 5.0, "")]
+    for clip in ("dense", "sparse", "bursts"):
+        own = [r for r in rows if r[1] == clip and r[5] is not None]
+        own.sort(key=lambda r: (r[2], r[0]))
+        at = 0
+        while at < len(own):
+            to = at
+            while to < len(own) and own[to][5] == own[at][5]:
+                to += 1
+            if to - at >= 6:
+                stuck |= {r[0] for r in own[at + 1 : to]}
+            at = to
+    whole = flags(spark, rows, block=10**6)
+    assert {k for k, v in whole.items() if "rate_stuck" in v} == stuck and len(stuck) > 300
+    assert sum("place_spike" in v for v in whole.values()) > 50 and sum("rate_spike" in v for v in whole.values()) > 20
+    for block in (64, 512, 700):
+        assert flags(spark, rows, block=block) == whole, block
+
+
+def test_rates_runs_and_ends(spark):
+    rows = walk(600)
+    for i, times in ((100, 14), (200, 17), (599, 500), (0, 500)):
+        rows[i][5] = 20.0 * times
+    for i in (300, 301, 302, 400, 401, 402, 403):
+        rows[i][5] = 10_000.0 + i
+    got = flags(spark, [tuple(r) for r in rows])
+    # more than fifteen times the usual, three together at most, and a reading in control on either side
+    assert got == {i: {"rate_spike"} for i in (200, 300, 301, 302)}
+
+
 SER = "clip string, f int, x double, y double, fill string"
 
 
