@@ -62,6 +62,27 @@ def test_top_n_against_brute_force(spark):
         assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == want
 
 
+def test_top_n_hot_groups_versions_and_bands(spark):
+    rng = random.Random(7)
+    # one group holds a third of all rows, and one of its items a tenth
+    rows = [("a", 0 if i % 3 == 0 else rng.randrange(300), 5 if i % 10 == 0 else rng.randrange(3000), rng.choice([None, float("nan"), float(rng.randrange(40))]), rng.choice(["1", "2", "3", None])) for i in range(9000)]
+    rows += [(None, None, None, 3.0, "1"), (None, None, 7, 3.0, "1"), (None, None, 7, 2.0, None)]
+    key = lambda r: (r[4] is not None, r[4] or "", r[3] is not None, r[3] != r[3] if r[3] is not None else False, r[3] if r[3] is not None and r[3] == r[3] else 0.0)
+    last = {}
+    for r in rows:
+        if r[:3] not in last or key(r) > key(last[r[:3]]):
+            last[r[:3]] = r
+    by = {}
+    for r in last.values():
+        if r[3] is not None and r[3] == r[3]:
+            by.setdefault(r[:2], []).append((-r[3], r[2] is not None, r[2] or 0, r[2]))
+    want = sorted(((*g, i[3], -i[0], k + 1) for g, v in by.items() for k, i in enumerate(sorted(v)[:3])), key=str)
+    df = spark.createDataFrame(rows, TOP).repartition(5)
+    for hot, bands in ((10**9, None), (200, None), (200, (0.1, 0.5)), (200, ())):
+        got = top_n(df, group=["clip", "f"], score="score", tie="id", n=3, version="rank", hot=hot, bands=bands)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_top_n_empty_and_all_null(spark):
     assert top_n(spark.createDataFrame([], TOP), group=["clip"], score="score", tie="id", n=3).count() == 0
     assert top_n(spark.createDataFrame([("a", 1, 1, None, "")], TOP), group=["clip"], score="score", tie="id", n=3).count() == 0

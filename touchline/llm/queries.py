@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.ids import words_state
-from touchline.llm.leakage import find_leaks
+from touchline.llm.leakage import find_leaks, remove_leaks
 from touchline.llm.mixture import mix, token_counter
 from touchline.llm.runs import collapse_runs
 from touchline.llm.subjects import tag_subjects
@@ -39,8 +39,7 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "player_detections", "video", "frame", "player_id", "foot_x", "loaded_at")
-    now = latest(df, ["video", "frame", "player_id"], "loaded_at", ["foot_x"])
-    return top_n(now, group=["video", "frame"], score="foot_x", tie="player_id", n=TOP).select("video", "frame", "player_id")
+    return top_n(df, group=["video", "frame"], score="foot_x", tie="player_id", n=TOP, version="loaded_at").select("video", "frame", "player_id")
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +55,13 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words_in_row").alias("most_words_in_row"))
 
 
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's length and how much of it is leaked text, once that is cut out."""
+    docs, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "passage")
+    clean = remove_leaks(docs, items, doc="doc_id", text="text", item="item_id", passage="passage")
+    return clean.select("doc_id", F.length("text").alias("n_chars"), "removed_chars")
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "source_targets", "source", "target_share", "max_repeats")
     return mix(docs, targets, doc="doc_id", source=words_state("source"), tokens=token_counter()(F.col("text")))
@@ -82,7 +88,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p2_found, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p2_found, p7_found, p7_items, p7_cleaned, p8_mixture, p8_shares, p9_found, p9_composition)}
 
 
 def _canon(c: str) -> str:
