@@ -109,14 +109,36 @@ def local_motion(rows: DataFrame, players: DataFrame, *, by: list[str], row: str
     )
 
 
+def interval_buckets(lo: Column, hi: Column, width: float, *, coarser: bool = False, factor: int = 64, levels: int = 3) -> Column:
+    """Array of (level, bucket) that an interval lies in. A level's buckets are ``factor`` times as wide as those of the level below; an interval is put where it
+    needs ``factor`` + 1 of them at most (or at the top), and with ``coarser`` at all levels above as well. A point lies in one bucket of every level."""
+    own = F.lit(levels - 1)
+    for at in range(levels - 2, -1, -1):
+        own = F.when(hi - lo <= width * factor ** (at + 1), F.lit(at)).otherwise(own)
+    parts = []
+    for at in range(levels):
+        w = width * factor**at
+        here = F.transform(F.sequence(F.floor(lo / w), F.floor(hi / w)), lambda b, at=at: F.struct(F.lit(at).alias("level"), b.alias("bucket")))
+        parts.append(F.when(F.lit(at) >= own if coarser else F.lit(at) == own, here).otherwise(F.array().cast("array<struct<level: int, bucket: bigint>>")))
+    return F.concat(*parts)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, *, by: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], width: float = 60.0) -> DataFrame:
+    """Pairs of intervals that share a point (ends count), each once or more: an equi-join on buckets at the level of the longer one."""
+    a = left.withColumn("_at", F.explode(interval_buckets(F.col(left_ends[0]), F.col(left_ends[1]), width, coarser=True)))
+    b = right.filter(F.col(right_ends[0]) <= F.col(right_ends[1])).withColumn("_at", F.explode(interval_buckets(F.col(right_ends[0]), F.col(right_ends[1]), width, coarser=True)))
+    return a.join(b, [*by, "_at"]).filter((F.col(right_ends[0]) <= F.col(left_ends[1])) & (F.col(right_ends[1]) >= F.col(left_ends[0]))).drop("_at")
+
+
 def stamp_intervals(df: DataFrame, intervals: DataFrame, *, by: list[str], time: str, start: str, end: str, rank: str, columns: list[str], row: str, width: float = 60.0, last_wins: bool = True) -> DataFrame:
     """Adds ``columns`` of the interval that holds ``time`` (both ends count); of several the one with the greatest (or smallest) ``rank``.
 
-    Intervals are put into buckets of ``width`` time units, so this is an equi-join however long the sequence.
+    Intervals are put into buckets of ``width`` time units, long ones into coarser buckets, so this is an equi-join however long the sequence or an interval.
     """
-    lo, hi = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    iv = intervals.filter(F.col(start) <= F.col(end)).select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(rank).alias("_r"), *[F.col(c).alias(f"_v_{c}") for c in columns], F.explode(F.sequence(lo, hi)).alias("_b"))
-    pairs = df.select(*by, row, F.col(time).alias("_t")).withColumn("_b", F.floor(F.col("_t") / width)).join(iv, [*by, "_b"]).filter(F.col("_t").between(F.col("_s"), F.col("_e")))
+    iv = intervals.filter(F.col(start) <= F.col(end))
+    iv = iv.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(rank).alias("_r"), *[F.col(c).alias(f"_v_{c}") for c in columns], F.explode(interval_buckets(F.col(start), F.col(end), width)).alias("_b"))
+    points = df.filter(F.col(time).isNotNull()).select(*by, row, F.col(time).alias("_t"), F.explode(interval_buckets(F.col(time), F.col(time), width, coarser=True)).alias("_b"))
+    pairs = points.join(iv, [*by, "_b"]).filter(F.col("_t").between(F.col("_s"), F.col("_e")))
     value = F.struct(*[F.col(f"_v_{c}") for c in columns])
     hit = pairs.groupBy(row).agg((F.max_by if last_wins else F.min_by)(value, "_r").alias("_hit"))
     return df.join(hit, row, "left").withColumns({c: F.col(f"_hit._v_{c}") for c in columns}).drop("_hit")

@@ -49,8 +49,9 @@ def merge_intervals(df: DataFrame, *, entity: list[str], start: str, end: str, r
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(entity, names)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("t"))
     rows = rows.filter("s is not null and t is not null and t > s").groupBy(*names, "s").agg(F.max("t").alias("t"))
     rows = materialise(rows.withColumn("h", h).withColumn("id", F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("-")) for n in names])), "intervals")
-    n = ranges or pieces(rows)
-    bounds = Ranges.draw(rows, F.col("h"), F.col("s"), n)
+    many = rows.count()  # of a table just written: its footers
+    n = ranges or pieces(spark, many)
+    bounds = Ranges.draw(rows, F.col("h"), F.col("s"), n, many)
     rows = rows.withColumn("r", bounds.column(F.col("h"), F.col("s")))
 
     # Only an entity that bounds run through reaches over ranges: at most one a bound, so the carries are few.
@@ -91,7 +92,7 @@ def merge_intervals(df: DataFrame, *, entity: list[str], start: str, end: str, r
             gaps = pdf.iloc[gap][names].assign(id=ids[gap], kind="gap", s=before[gap], t=s[gap], opens=False, goes_on=False, r=r, k=0)
             yield pd.concat([out, gaps], ignore_index=True)
 
-    scanned = rows.repartition(n, "r").sortWithinPartitions("r", "h", "id", "s").mapInPandas(
+    scanned = rows.repartitionById(n, F.col("r")).sortWithinPartitions("r", "h", "id", "s").mapInPandas(
         rescan, f"{kinds}, id string, kind string, s long, t long, opens boolean, goes_on boolean, r int, k int"
     )
     parts = materialise(scanned, "parts")

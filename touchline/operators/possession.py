@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.associate import overlap_join, stamp_intervals
 from touchline.operators.sequence import neighbours, running_count
 
 #: The action vocabulary of annotated ball actions, and the actions that show control of the ball.
@@ -65,7 +66,8 @@ def passes(labels: DataFrame, *, by: list[str], max_gap: float = 2.0, allow_unkn
         pairs = pairs.withColumn("_dead", F.lit(None).cast("string"))
     else:
         iv = non_live.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), "reason", "rank")
-        hit = pairs.join(iv, by).filter((F.col("_s") <= F.col("_until")) & (F.col("_e") >= F.col("_from"))).groupBy(*by, "from_possession_id").agg(F.min_by("reason", "rank").alias("_dead"))
+        met = overlap_join(pairs.select(*by, "from_possession_id", "_from", "_until"), iv, by=by, left_ends=("_from", "_until"), right_ends=("_s", "_e"))
+        hit = met.groupBy(*by, "from_possession_id").agg(F.min_by("reason", "rank").alias("_dead"))
         pairs = pairs.join(hit, [*by, "from_possession_id"], "left")
     reason = F.when(F.col("unknown") & F.lit(not allow_unknown), "unknown_team").when(F.col("_dead").isNotNull(), F.concat(F.lit("non_live:"), "_dead"))
     pairs = pairs.withColumn("skip_reason", reason)
@@ -90,15 +92,13 @@ def time_weighted_accuracy(truth: DataFrame, guess: DataFrame, *, by: list[str])
     wherever there is truth, team and player only where the truth is controlled.
     """
     points = truth.select(*by, "start", "end").unionByName(guess.select(*by, "start", "end"))
-    points = points.select(*by, F.explode(F.array("start", "end")).alias("_a")).distinct()
-    slices = points.withColumn("_z", F.lead("_a").over(Window.partitionBy(*by).orderBy("_a"))).filter("_z is not null").withColumn("_m", (F.col("_a") + F.col("_z")) / 2)
-
-    def at(df: DataFrame, name: str) -> DataFrame:
-        iv = df.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.struct("state", "team", "player").alias("_v"), F.col("id").alias("_i"))
-        hit = slices.join(iv, by).filter((F.col("_s") <= F.col("_m")) & (F.col("_e") > F.col("_m")))
-        return hit.groupBy(*by, "_a").agg(F.min_by("_v", F.struct("_s", "_i")).alias(name))
-
-    got = slices.join(at(truth, "_t"), [*by, "_a"]).join(at(guess, "_g"), [*by, "_a"], "left").withColumn("_len", F.col("_z") - F.col("_a"))
+    points = points.select(*by, F.explode(F.array("start", "end")).alias("_a")).filter("_a is not null").distinct()
+    slices = neighbours(points, by=by, order="_a", columns=["_a"], previous=False, following=True, block=600.0).withColumnRenamed("next__a", "_z").filter("_z is not null")
+    got = slices.withColumns({"_m": (F.col("_a") + F.col("_z")) / 2, "_row": F.struct(*by, "_a"), "_len": F.col("_z") - F.col("_a")})
+    for df, name in ((truth, "_t"), (guess, "_g")):
+        iv = df.withColumns({name: F.struct("state", "team", "player"), "_rank": F.struct("start", "id")})
+        got = stamp_intervals(got, iv, by=by, time="_m", start="start", end="end", rank="_rank", columns=[name], row="_row", last_wins=False)
+    got = got.filter("_t is not null")
     controlled = F.col("_t.state") == "controlled"
     secs = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_len"))), F.lit(0.0))
     return got.groupBy(*by).agg(

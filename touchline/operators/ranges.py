@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows the driver sees per range when it draws bounds, and at most in all unless there are more ranges than that. Bounds only decide balance, never a result.
+#: Rows the driver sees per range when it draws bounds, and at most in all. Bounds only decide balance, never a result.
 SAMPLE_PER_RANGE, SAMPLE_MOST = 64, 500_000
 
 
@@ -22,13 +22,12 @@ class Ranges:
         self.h, self.s = np.array(h, dtype=np.int64), np.array(s, dtype=np.int64)
 
     @classmethod
-    def draw(cls, df: DataFrame, h: Column, s: Column, n: int) -> Ranges:
-        """Bounds from a sample of about ``SAMPLE_PER_RANGE`` rows a range, fewer where there are many ranges."""
-        keys = df.select(h.alias("h"), s.cast("long").alias("s")).na.drop()
-        rows = keys.count()
+    def draw(cls, df: DataFrame, h: Column, s: Column, n: int, rows: int) -> Ranges:
+        """Bounds of ``n`` ranges from a sample of the ``rows`` rows, about ``SAMPLE_PER_RANGE`` a range, fewer where there are many ranges."""
         if n < 2 or not rows:
             return cls([], [])
-        want = max(4 * n, min(n * SAMPLE_PER_RANGE, SAMPLE_MOST))
+        want = min(n * SAMPLE_PER_RANGE, SAMPLE_MOST)
+        keys = df.select(h.alias("h"), s.cast("long").alias("s")).na.drop()
         drawn = keys.sample(min(1.0, want / rows), seed=7).limit(2 * want).toPandas().sort_values(["h", "s"])
         if not len(drawn):
             return cls([], [])

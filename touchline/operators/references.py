@@ -2,113 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ranges import Ranges
-from touchline.session import materialise, pieces
+from touchline.session import materialise, parallelism, pieces
+
+_REASONS = np.array(["", "missing", "gone", "late"], dtype=object)
 
 
-def orphan_references(
-    refs: DataFrame, parents: DataFrame, *, hot: int = 100_000, salts: int = 64, ranges: int | None = None
-) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, *, hot: int = 100_000, ranges: int | None = None) -> DataFrame:
     """The rows of ``refs`` whose parent is absent, gone or late, with ``reason`` "missing", "gone" or "late".
 
-    ``refs`` needs ``key`` (any hashable text naming table and record) and ``seen`` (when the
+    ``refs`` needs ``key`` (any text naming table and record) and ``seen`` (when the
     reference was first loaded), ``parents`` one row a ``key`` with ``gone`` (boolean) and ``since`` (when
     it was first loaded). A null key is no reference. A null ``seen`` or ``since`` makes nothing late, a null ``gone`` is
     false. Repeated references are all reported. An empty ``parents`` makes all references "missing".
     Other columns of ``refs`` are kept.
 
-    Both sides are range-partitioned by the key's hash. Each range holds its parents as sorted arrays and
-    probes them with vectorised batches of references by binary search. Keys that more than ``hot``
-    references share are spread over ``salts`` ranges, their parents copied to each; there are at most
-    rows / ``hot`` such keys.
+    Both sides are range-partitioned by the key's hash, with bounds drawn from both. Each range holds its parents as sorted
+    arrays and probes them with vectorised batches of references by binary search; keys themselves are compared only where hashes are equal. Keys that
+    more than ``hot`` references share, and more than a quarter of what a partition holds on average (so at most four a partition), are spread
+    over as many ranges as they have times that, their parents copied to each.
     """
     spark = refs.sparkSession
     kept = refs.columns
-    refs = materialise(refs.filter("key is not null").withColumn("_h", F.xxhash64("key")), "refs")
-    many = refs.groupBy("_h").count().filter(F.col("count") > hot).select("_h")
-    spread = [x["_h"] for x in many.limit(100_000).collect()]
-    salted = spark.createDataFrame([(x,) for x in spread], "_h long")
-
-    def hashed(salt: Column) -> Column:
-        return F.when(salt == 0, F.col("_h")).otherwise(F.xxhash64("_h", salt))
-
-    if spread:
-        refs = refs.join(F.broadcast(salted.withColumn("_hot", F.lit(1))), "_h", "left").withColumn(
-            "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int")).otherwise(0)
-        ).drop("_hot")
-        up = parents.withColumn("_h", F.xxhash64("key")).join(F.broadcast(salted.withColumn("_hot", F.lit(1))), "_h", "left")
-        up = up.withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    else:
-        refs = refs.withColumn("_salt", F.lit(0))
-        up = parents.withColumn("_h", F.xxhash64("key")).withColumn("_salt", F.lit(0))
-    refs = refs.withColumn("_g", hashed(F.col("_salt"))).drop("_h", "_salt")
-    up = up.withColumn("_g", hashed(F.col("_salt")))
-    n = ranges or pieces(refs)
-    bounds = Ranges.draw(refs, F.col("_g"), F.lit(0), n)
-    nothing = {c: F.lit(None).cast(refs.schema[c].dataType) for c in kept if c not in ("key",)}
+    refs, parents = refs.filter("key is not null"), parents.filter("key is not null")
+    nothing = {c: F.lit(None).cast(refs.schema[c].dataType) for c in kept if c != "key"}
     # a missing time makes nothing late
     stamp = lambda c, rest: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(rest))
-    parents_side = up.select(
-        F.col("key"), *[v.alias(c) for c, v in nothing.items()], "_g", F.lit(0).alias("_side"),
+    up = parents.select(
+        F.col("key"), *[v.alias(c) for c, v in nothing.items()], F.lit(0).alias("_side"),
         stamp("since", -(2**63)).alias("_at"), F.coalesce(F.col("gone"), F.lit(False)).alias("_gone"),
-    )
-    refs_side = refs.select(*kept, "_g", F.lit(1).alias("_side"), stamp("seen", 2**63 - 1).alias("_at"), F.lit(False).alias("_gone"))
-    both = parents_side.unionByName(refs_side).withColumn("_r", bounds.column(F.col("_g"), F.lit(0)))
+    ).select(*kept, "_side", "_at", "_gone")
+    down = refs.select(*kept, F.lit(1).alias("_side"), stamp("seen", 2**63 - 1).alias("_at"), F.lit(False).alias("_gone"))
+    both = materialise(up.unionByName(down).withColumn("_h", F.xxhash64("key")), "refs")
+    rows = both.count()  # of a table just written: its footers
+    hot = max(hot, rows // (4 * parallelism(spark)))
+    wide = both.filter("_side = 1").groupBy("_h").count().filter(F.col("count") > hot)
+    wide = {x["_h"]: -(-x["count"] // hot) for x in wide.collect()}  # at most 4 * parallelism rows
+    both = both.withColumn("_g", F.col("_h"))
+    if wide:
+        salts = spark.createDataFrame(list(wide.items()), "_h long, _salts int")
+        both = both.join(F.broadcast(salts), "_h", "left")
+        mine = F.when(F.col("_side") == 0, F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64(*kept), F.col("_salts")).cast("int")))
+        both = both.withColumn("_salt", F.explode(F.when(F.col("_salts").isNull(), F.array(F.lit(0))).otherwise(mine)))
+        both = both.withColumn("_g", F.when(F.col("_salt") == 0, F.col("_h")).otherwise(F.xxhash64("_h", "_salt"))).drop("_salts", "_salt")
+    n = ranges or pieces(spark, rows)
+    bounds = Ranges.draw(both, F.col("_g"), F.lit(0), n, rows)
+    both = both.drop("_h").withColumn("_r", bounds.column(F.col("_g"), F.lit(0)))
     schema = ", ".join(f"`{c}` {refs.schema[c].dataType.simpleString()}" for c in kept) + ", reason string"
 
-    def probe(batches):  # noqa: ANN001
-        held: list[pd.DataFrame] = []
-        arrays = None
-        current = None
-        for pdf in batches:
-            for r, part in pdf.groupby("_r", sort=True):
-                if r != current:
-                    current, held, arrays = r, [], None
-                side = part["_side"].to_numpy()
-                if (side == 0).any():
-                    held.append(part[side == 0][["_g", "key", "_at", "_gone"]])
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        arrays, current = None, None
+        for batch in batches:
+            r = batch.column("_r").to_numpy()
+            side = batch.column("_side").to_numpy()
+            # stretches of one range and one side, in order
+            cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (side[1:] != side[:-1])]) if len(r) else []
+            for a, b in zip(cut, np.r_[cut[1:], len(r)] if len(r) else []):
+                if r[a] != current:
+                    current, held, arrays = r[a], [], None
+                part = batch.slice(a, b - a)
+                if side[a] == 0:
+                    held.append(part.select(["_g", "key", "_at", "_gone"]))
                     arrays = None
-                ask = part[side == 1]
-                if not len(ask):
                     continue
                 if arrays is None:
                     arrays = _arrays(held)
-                yield ask[kept].assign(reason=_probe(arrays, ask)).dropna(subset=["reason"])
+                told = _probe(arrays, part)
+                if told.any():
+                    out = part.select(kept).filter(pa.array(told > 0))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(_REASONS[told[told > 0]], pa.string())], names=[*kept, "reason"])
 
-    found = both.repartition(n, "_r").sortWithinPartitions("_r", "_side", "_g", "key").mapInPandas(probe, schema)
-    return found
+    placed = both.repartitionById(n, F.col("_r")).sortWithinPartitions("_r", "_side", "_g", "key")
+    return placed.mapInArrow(probe, schema)
 
 
-def _arrays(held: list[pd.DataFrame]) -> tuple[np.ndarray, ...]:
-    """A range's parents, sorted by hash; they arrive sorted, so this only joins them."""
+def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray] | None:
+    """A range's parents as arrays; they arrive sorted by hash."""
     if not held:
-        return (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, bool))
-    all_ = pd.concat(held, ignore_index=True)
-    return all_["_g"].to_numpy(), all_["key"].to_numpy(), all_["_at"].to_numpy(dtype=np.int64), all_["_gone"].to_numpy(dtype=bool)
+        return None
+    whole = pa.Table.from_batches(held).combine_chunks()
+    key = whole.column("key").chunk(0) if whole.column("key").num_chunks else pa.array([], pa.string())
+    return whole.column("_g").to_numpy(), key.cast(pa.large_string()), whole.column("_at").to_numpy(), whole.column("_gone").to_numpy()
 
 
-def _probe(arrays: tuple[np.ndarray, ...], ask: pd.DataFrame) -> np.ndarray:
-    h, key, since, gone = arrays
-    g, k = ask["_g"].to_numpy(), ask["key"].to_numpy()
-    seen = ask["_at"].to_numpy(dtype=np.int64)
-    out = np.full(len(ask), "missing", dtype=object)
-    if not len(h):
+def _probe(arrays: tuple | None, ask: pa.RecordBatch) -> np.ndarray:
+    """0 where the parent is there, else the number of the reason."""
+    out = np.ones(ask.num_rows, dtype=np.int8)
+    if arrays is None:
         return out
+    h, key, since, gone = arrays
+    g, seen, k = ask.column("_g").to_numpy(), ask.column("_at").to_numpy(), ask.column("key").cast(pa.large_string())
     at = np.searchsorted(h, g, side="left")
-    todo = np.arange(len(ask))
+    todo = np.arange(len(g))
     while len(todo):  # more than one step only where hashes of different keys collide
-        inside = at[todo] < len(h)
-        todo = todo[inside]
+        todo = todo[at[todo] < len(h)]
         todo = todo[h[at[todo]] == g[todo]]
-        same = key[at[todo]] == k[todo]
+        if not len(todo):
+            break
+        same = pc.equal(key.take(pa.array(at[todo])), k.take(pa.array(todo))).to_numpy(zero_copy_only=False)
         hit = todo[same]
         p = at[hit]
-        out[hit] = np.where(gone[p], "gone", np.where(since[p] > seen[hit], "late", None))
+        out[hit] = np.where(gone[p], 2, np.where(since[p] > seen[hit], 3, 0))
         todo = todo[~same]
         at[todo] += 1
     return out

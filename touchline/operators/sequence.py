@@ -61,9 +61,10 @@ def running(df: DataFrame, *, by: list[str], order: str, exprs: dict[str, tuple[
     """Adds running "max" or "min" of expressions; each says whether it looks ahead (to the sequence's end) or back (to its beginning)."""
     blk = df.withColumns({"_blk": F.floor(F.col(order) / block), **{f"_x_{n}": e for n, (_, _, e) in exprs.items()}})
     fn, both = {"max": F.max, "min": F.min}, {"max": F.greatest, "min": F.least}
-    inside, over = Window.partitionBy(*by, "_blk").orderBy(order), Window.partitionBy(*by).orderBy("_blk")
-    rows = {False: inside.rowsBetween(Window.unboundedPreceding, 0), True: inside.rowsBetween(0, Window.unboundedFollowing)}
-    rest = {False: over.rowsBetween(Window.unboundedPreceding, -1), True: over.rowsBetween(1, Window.unboundedFollowing)}
+    # looking ahead is looking back in the opposite order; a frame that ends at the block's end would be computed anew for each row
+    inside, over = Window.partitionBy(*by, "_blk"), Window.partitionBy(*by)
+    rows = {ahead: inside.orderBy(F.desc(order) if ahead else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0) for ahead in (False, True)}
+    rest = {ahead: over.orderBy(F.desc("_blk") if ahead else F.asc("_blk")).rowsBetween(Window.unboundedPreceding, -1) for ahead in (False, True)}
     sums = blk.groupBy(*by, "_blk").agg(*[fn[f](f"_x_{n}").alias(f"_b_{n}") for n, (f, _, _) in exprs.items()])
     sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_blk").alias("_b"), *[fn[f](f"_b_{n}").over(rest[a]).alias(f"_c_{n}") for n, (f, a, _) in exprs.items()])
     same = F.col("_blk").eqNullSafe(F.col("_b"))

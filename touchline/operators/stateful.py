@@ -29,8 +29,9 @@ def stream_groups(df: DataFrame, machine: Callable[[], Callable[[dict], list[tup
         key, step = None, None
         for pdf in batches:
             out: list[tuple] = []
-            keys = list(zip(*[pdf[b] for b in by])) if len(pdf) else []
-            for k, row in zip(keys, pdf.to_dict("records")):
+            names, lists = list(pdf.columns), [pdf[c].tolist() for c in pdf.columns]
+            for k, values in zip(zip(*[pdf[b].tolist() for b in by]), zip(*lists)):
+                row = dict(zip(names, values))
                 if k != key:
                     if step is not None and finish:
                         out += step(None)
@@ -113,50 +114,73 @@ class PossessionChain:
                     why = "carry_forward_timeout"
                     done = self.close(row, why)
                     self.carried, self.carried_from = 0, None
-        now = {"state": told, "owner": None if told == "pending_control" else self.owner, "segment": self.count if self.owner is not None else None, "pending": self.candidate, "seen": self.seen, "carried": self.carried, "why": why}
+        now = {"state": told, "owner": None if told == "pending_control" else self.owner, "segment": self.count if self.owner is not None else None, "pending": self.candidate, "seen": self.seen, "carried": self.carried, "carried_seconds": None if self.carried_from is None else row["time"] - self.carried_from, "why": why}
         return now, done
 
 
 _CHAIN_INPUT = ["frame", "time", "player", "distance", "speed", "state", "excluded", "repaired"]
 
 
-def possession_frames(df: DataFrame, *, by: list[str], spec: ChainSpec = ChainSpec(), tie: list[str] = ()) -> DataFrame:
-    """Possession state, owner and segment of every row. ``df`` has frame, time, player (null: none), distance, speed, state, excluded and repaired (booleans)."""
+def _chain_parts(df: DataFrame, by: list[str], spec: ChainSpec, tie: list[str]) -> DataFrame:
+    """Adds ``_part``: a sequence is cut where the chain surely holds nothing, that is, where evidence follows a stretch in transit or loose that
+    is longer than a possession is carried. Frames with equal order are put in the order of ``tie``."""
+    rows = df.select(*by, *_CHAIN_INPUT, *tie)
+    if spec.carry_s < 0:
+        return rows.withColumn("_part", F.lit(0).cast("long"))
+    evidence = (F.col("state") == "controlled") & ~F.coalesce("excluded", F.lit(False)) & F.col("player").isNotNull() & (F.col("distance") <= spec.max_distance)
+    state = F.when((F.col("state") == "controlled") & F.col("excluded"), "in_transit").otherwise(F.col("state"))
+    quiet = F.coalesce(~F.coalesce(evidence, F.lit(False)) & state.isin("in_transit", "loose_or_unclear"), F.lit(False))
+    rows = materialise(running_count(rows.withColumn("_quiet", quiet), by=by, order="frame", flag=~F.col("_quiet"), name="_run", tie=tie), "chain")
+    # a run is a row that isn't quiet (but for one at the very beginning) and the quiet ones after it
+    runs = rows.groupBy(*by, "_run").agg((F.max(F.when(F.col("_quiet"), F.col("time"))) - F.min(F.when(F.col("_quiet"), F.col("time"))) > spec.carry_s).alias("_dead"))
+    over = Window.partitionBy(*by, "_step").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    # dead runs are counted in blocks of runs, then over the blocks
+    runs = runs.withColumns({"_step": F.floor(F.col("_run") / 65536), "_d": F.coalesce(F.col("_dead").cast("int"), F.lit(0))})
+    steps = runs.groupBy(*by, "_step").agg(F.sum("_d").alias("_n"))
+    steps = steps.select(*by, "_step", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    runs = runs.withColumn("_in", F.coalesce(F.sum("_d").over(over), F.lit(0))).join(steps, [*by, "_step"]).select(*by, "_run", (F.col("_in") + F.col("_before")).alias("_part"))
+    return rows.join(runs, [*by, "_run"]).drop("_quiet", "_run")
+
+
+def _chain(df: DataFrame, *, by: list[str], spec: ChainSpec, tie: list[str], closes: bool) -> tuple[DataFrame, DataFrame]:
+    """The chain's rows (or, if ``closes``, its segments) with ``_part`` and segments numbered in it, and the offsets of the parts' numbers."""
     kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
 
     def machine():  # noqa: ANN202
-        chain = PossessionChain(spec)
+        chain, key = PossessionChain(spec), []
 
-        def step(row: dict) -> list[tuple]:
+        def step(row: dict | None) -> list[tuple]:
+            if row is None:
+                return [(*key[0], *chain.close(chain.last, "end_of_input"))] if closes and chain.owner is not None else []
+            key[:] = [[*(row[b] for b in by), row["_part"]]]
             row["player"] = None if missing(row["player"]) else row["player"]
-            now, _ = chain.step(row)
-            return [(*[row[b] for b in by], row["frame"], *now.values())]
+            now, done = chain.step(row)
+            if closes:
+                return [(*key[0], *done)] if done else []
+            return [(*key[0], row["frame"], *now.values(), chain.count)]
 
         return step
 
-    schema = f"{kinds}, frame int, possession_state string, possession_player string, segment int, pending_player string, pending_rows int, carried_rows int, transition_reason string"
-    return stream_groups(df.select(*by, *_CHAIN_INPUT, *tie), machine, by=by, order=["frame", *tie], schema=schema)
-
-
-def possession_segments(df: DataFrame, *, by: list[str], spec: ChainSpec = ChainSpec(), tie: list[str] = ()) -> DataFrame:
-    """Confirmed possessions of every sequence, with their ends and why they ended."""
-    kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+    if closes:
+        schema = f"{kinds}, _part long, segment int, player_id string, start_time double, end_time double, duration_seconds double, start_frame int, end_frame int, end_reason string"
+    else:
+        schema = f"{kinds}, _part long, frame int, possession_state string, possession_player string, segment int, pending_player string, pending_rows int, carried_rows int, carried_seconds double, transition_reason string, _count int"
+    out = materialise(stream_groups(_chain_parts(df, by, spec, tie), machine, by=[*by, "_part"], order=["frame", *tie], schema=schema, finish=True), "chained")
+    many = out.groupBy(*by, "_part").agg(F.max("segment" if closes else "_count").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out, many.select(*by, "_part", before.cast("int").alias("_before"))
 
-    def machine():  # noqa: ANN202
-        chain, key = PossessionChain(spec), []
 
-        def step(row: dict | None) -> list[tuple]:
-            if row is None:
-                return [(*key[0], *chain.close(chain.last, "end_of_input"))] if chain.owner is not None else []
-            key[:] = [[row[b] for b in by]]
-            row["player"] = None if missing(row["player"]) else row["player"]
-            _, done = chain.step(row)
-            return [(*key[0], *done)] if done else []
+def possession_frames(df: DataFrame, *, by: list[str], spec: ChainSpec = ChainSpec(), tie: list[str] = ()) -> DataFrame:
+    """Possession state, owner and segment of every row. ``df`` has frame, time, player (null: none), distance, speed, state, excluded and repaired (booleans)."""
+    out, before = _chain(df, by=by, spec=spec, tie=list(tie), closes=False)
+    return out.join(before, [*by, "_part"]).withColumn("segment", F.col("segment") + F.col("_before")).drop("_part", "_before", "_count")
 
-        return step
 
-    schema = f"{kinds}, segment int, player_id string, start_time double, end_time double, duration_seconds double, start_frame int, end_frame int, end_reason string"
-    return stream_groups(df.select(*by, *_CHAIN_INPUT, *tie), machine, by=by, order=["frame", *tie], schema=schema, finish=True)
+def possession_segments(df: DataFrame, *, by: list[str], spec: ChainSpec = ChainSpec(), tie: list[str] = ()) -> DataFrame:
+    """Confirmed possessions of every sequence, with their ends and why they ended."""
+    out, before = _chain(df, by=by, spec=spec, tie=list(tie), closes=True)
+    return out.join(before, [*by, "_part"]).withColumn("segment", F.col("segment") + F.col("_before")).drop("_part", "_before")
 
 
 @dataclass(frozen=True)

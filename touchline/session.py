@@ -75,7 +75,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 
+#: More ranges than this don't balance better; the sample their bounds come from, which the driver sees, is bounded with them.
+MOST_RANGES = 100_000
 
-def pieces(df: DataFrame, rows: int = 1_000_000) -> int:
-    """Ranges for a table whose ranges are held by a task one at a time: about ``rows`` rows each, at least ``parallelism``."""
-    return max(parallelism(df.sparkSession), -(-df.count() // rows))
+
+def pieces(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
+    """Ranges for a table whose ranges are held by a task one at a time: about ``each`` rows each, at least ``parallelism``."""
+    return min(MOST_RANGES, max(parallelism(spark), -(-rows // each)))
