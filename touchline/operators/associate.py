@@ -142,3 +142,23 @@ def stamp_intervals(df: DataFrame, intervals: DataFrame, *, by: list[str], time:
     value = F.struct(*[F.col(f"_v_{c}") for c in columns])
     hit = pairs.groupBy(row).agg((F.max_by if last_wins else F.min_by)(value, "_r").alias("_hit"))
     return df.join(hit, row, "left").withColumns({c: F.col(f"_hit._v_{c}") for c in columns}).drop("_hit")
+
+
+def participant_features(ball: DataFrame, players: DataFrame, readings: DataFrame, *, by: list[str], most: int = 5) -> DataFrame:
+    """The ``most`` nearest players of each frame's ball (one row a frame): rank, the frame's players, box geometry, and places as shares of the picture.
+
+    A sequence's picture is as wide and high as the farthest box of players or ``readings``; edges are the nearer ones. A box without height has no aspect.
+    """
+    keys = [*by, "frame"]
+    size = [t.groupBy(*by).agg(F.max("x2").alias("w"), F.max("y2").alias("h")) for t in (players, readings)]
+    size = size[0].unionByName(size[1]).groupBy(*by).agg(F.max("w").alias("_w"), F.max("h").alias("_h"))
+    count = players.groupBy(*keys).agg(F.count(F.lit(1)).alias("players_in_frame"), F.count_if(F.col("field_zone") == "strict").alias("strict_in_frame"))
+    near = ball.select(*keys, "center_x", "center_y").join(players, keys).withColumn("ball_distance", distance("center_x", "center_y", "foot_x", "foot_y")).filter("ball_distance is not null")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("ball_distance", "player_id"))).filter(F.col("rank") <= most)
+    w, h, x, y = F.col("_w"), F.col("_h"), F.col("foot_x"), F.col("foot_y")
+    tall = F.col("y2") - F.col("y1")
+    out = near.join(size, by).join(count, keys)
+    return out.withColumns({
+        "ball_distance_norm": F.try_divide("ball_distance", h), "foot_x_norm": F.try_divide(x, w), "foot_y_norm": F.try_divide(y, h), "edge_x_norm": F.try_divide(F.least(x, w - x), w),
+        "edge_y_norm": F.try_divide(F.least(y, h - y), h), "aspect": F.try_divide(F.col("x2") - F.col("x1"), F.when(tall > 0, tall)), "height_norm": F.try_divide(tall, h),
+    }).drop("_w", "_h")

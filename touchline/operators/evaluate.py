@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.geometry import iou
@@ -77,3 +77,15 @@ def error_counts(df: DataFrame, column: str = "validation_errors") -> DataFrame:
 def confusion(df: DataFrame, truth: str, guess: str, values: list[str]) -> DataFrame:
     """Truth by prediction, one column a predicted value; missing predictions are in none."""
     return df.groupBy(truth).pivot(guess, values).agg(F.count(F.lit(1))).fillna(0, values)
+
+
+def accuracy(df: DataFrame, truth: str, guess: str, *, by: list[str]) -> DataFrame:
+    """Rows, correct rows and their share."""
+    right = F.coalesce(F.col(truth) == F.col(guess), F.lit(False))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("correct"), F.avg(right.cast("int")).alias("accuracy"))
+
+
+def error_ranking(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """Confusions by number, the most frequent first; one row a pair of labels."""
+    wrong = df.filter(~F.col(truth).eqNullSafe(F.col(guess))).groupBy(truth, guess).agg(F.count(F.lit(1)).alias("n"))
+    return wrong.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), truth, guess)))

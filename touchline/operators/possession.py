@@ -111,3 +111,63 @@ def label_document(labels: DataFrame, *, by: list[str]) -> DataFrame:
     """One JSON document a group: its valid segments by start and end."""
     seg = F.struct("start", "end", "id", "state", "team", "player", "confidence")
     return labels.filter(F.col("end") > F.col("start")).groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(seg))).alias("segments"), F.count(F.lit(1)).alias("n_segments"))
+
+
+EVENT_FIELDS = ("id", "schema_version", "match_id", "clip", "half", "type", "team", "from_player", "to_player", "start", "end", "duration", "from_possession_id", "to_possession_id", "from_source_action_id", "to_source_action_id", "from_source_note", "confidence", "review_status", "notes")
+SKIPPED_FIELDS = ("from_possession_id", "to_possession_id", "start", "end", "reason", "game_state_label", "restart_type", "source_review_id")
+#: The notes an event carries.
+NOTES = {
+    "completed_pass_candidate": "Derived from consecutive reviewed controlled possessions.",
+    "possession_transition_candidate": "Derived from consecutive controlled possessions with unknown team identity; requires team classification before it can be treated as a completed pass.",
+}
+
+
+def event_rows(labels: DataFrame, *, by: list[str], max_gap: float = 2.0, allow_unknown: bool = False, non_live: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events in the twenty fields of an event document, and the pairs skipped, with the columns ``by``.
+
+    ``labels`` has start, end, state, team, player, id, clip, confidence (null counts as 1), source_action_id and notes (nulls are ''). The rules are those of ``passes``; ``non_live`` has
+    ``by``, start, end, game_state_label, restart_type and source_review_id, of several the one with the smallest source_review_id counts.
+    """
+    full = lambda c: F.coalesce(F.col(c), F.lit(""))
+    controlled = labels.filter((F.col("state") == "controlled") & (full("team") != "") & (full("player") != "")).withColumns({c: full(c) for c in ("clip", "source_action_id", "notes")})
+    fields = ["start", "end", "team", "player", "id", "confidence", "source_action_id"]
+    pairs = neighbours(controlled, by=by, order="start", columns=fields, tie=["id"], previous=False, following=True, block=600.0).filter("next_id is not null")
+    gap, unknown = F.col("next_start") - F.col("end"), _unknown(F.col("team")) | _unknown(F.col("next_team"))
+    pairs = pairs.withColumns({"gap": gap, "unknown": unknown}).filter((F.col("player") != F.col("next_player")) & F.col("gap").between(0, max_gap) & (F.col("unknown") | (F.col("team") == F.col("next_team"))))
+    if non_live is None:
+        pairs = pairs.withColumn("stop", F.lit(None).cast("struct<source_review_id: string, game_state_label: string, restart_type: string>"))
+    else:
+        iv = non_live.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.struct("source_review_id", "game_state_label", "restart_type").alias("_v"))
+        met = overlap_join(pairs.select(*by, "id", F.col("start").alias("_from"), F.col("next_end").alias("_until")), iv, by=by, left_ends=("_from", "_until"), right_ends=("_s", "_e"))
+        pairs = pairs.join(met.groupBy(*by, "id").agg(F.min("_v").alias("stop")), [*by, "id"], "left")
+    nameless = F.col("unknown") & F.lit(not allow_unknown)
+    reason = F.when(nameless, "unknown_team_identity").when(F.col("stop").isNotNull(), "non_live_game_state_overlap")
+    pairs = pairs.withColumn("reason", reason)
+    skipped = pairs.filter("reason is not null").select(
+        *by, F.col("id").alias("from_possession_id"), F.col("next_id").alias("to_possession_id"), F.col("end").alias("start"), F.col("next_start").alias("end"), "reason",
+        *[F.when(nameless, "").otherwise(F.coalesce(f"stop.{c}", F.lit(""))).alias(c) for c in ("game_state_label", "restart_type", "source_review_id")],
+    )
+    kept = running_count(pairs.filter("reason is null"), by=by, order="start", flag=F.lit(True), name="_k", tie=["id"], block=600.0)
+    kind = F.when(F.col("unknown"), "possession_transition_candidate").otherwise("completed_pass_candidate")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1.0))
+    events = kept.select(
+        F.format_string("event_%04d", F.col("_k")).alias("id"), F.lit("0.1").alias("schema_version"), *[c for c in by if c not in EVENT_FIELDS], *[c for c in ("match_id", "clip", "half") if c in kept.columns], kind.alias("type"), "team",
+        F.col("player").alias("from_player"), F.col("next_player").alias("to_player"), F.col("end").alias("start"), F.col("next_start").alias("end"), F.col("gap").alias("duration"), F.col("id").alias("from_possession_id"),
+        F.col("next_id").alias("to_possession_id"), F.col("source_action_id").alias("from_source_action_id"), F.coalesce("next_source_action_id", F.lit("")).alias("to_source_action_id"), F.col("notes").alias("from_source_note"),
+        F.least(one("confidence"), one("next_confidence")).alias("confidence"), F.lit("candidate").alias("review_status"), F.when(F.col("unknown"), NOTES["possession_transition_candidate"]).otherwise(NOTES["completed_pass_candidate"]).alias("notes"),
+    )
+    return events, skipped
+
+
+def event_documents(labels: DataFrame, *, by: list[str], source: str = "", game_state: str = "", **rules) -> DataFrame:  # noqa: ANN003
+    """One document a group of ``by``: its counts, events and skipped pairs, in order; groups of labels without events have empty lists.
+
+    A document holds the events of one group (a match half), which a person's labels bound; nothing larger is gathered.
+    """
+    events, skipped = event_rows(labels, by=by, **rules)
+    gathered = lambda df, names, name: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*[c for c in names if c in df.columns]))).alias(name))
+    docs = labels.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("clip") != "", F.col("clip"))), F.lit("")).alias("clip"))
+    docs = docs.join(gathered(events, EVENT_FIELDS, "events"), by, "left").join(gathered(skipped, SKIPPED_FIELDS, "skipped_events"), by, "left")
+    none = {c: F.array().cast(docs.schema[c].dataType) for c in ("events", "skipped_events")}
+    docs = docs.withColumns({c: F.coalesce(c, none[c]) for c in none})
+    return docs.select(F.lit("0.1").alias("schema_version"), F.lit(source).alias("source_labels"), *by, "clip", F.size("events").alias("event_count"), F.size("skipped_events").alias("skipped_event_count"), F.lit(game_state).alias("game_state_intervals"), "events", "skipped_events")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.geometry import iou
+from touchline.operators.select import top
 from touchline.operators.sequence import neighbours
 
 
@@ -64,3 +66,19 @@ def grouped_rollup(df: DataFrame, a: str, b: str, aggregates: list[Column]) -> D
     kept = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     out = kept.groupingSets([[F.col(a)], [F.col(b)], [F.col(a), F.col(b)]], F.col(a), F.col(b)).agg(F.grouping_id(F.col(a), F.col(b)).alias("_g"), *aggregates)
     return out.withColumn("grouping", F.when(F.col("_g") == 1, a).when(F.col("_g") == 2, b).otherwise(f"{a}+{b}")).drop("_g")
+
+
+def longest_gaps(ball: DataFrame, n: int, *, by: list[str], row: str, least: float = 2.0) -> DataFrame:
+    """The ``n`` longest time gaps of each sequence of at least ``least`` seconds, by the row that ends them, with their rank."""
+    gaps = neighbours(ball, by=by, order="time_seconds", columns=["time_seconds"], tie=[row], block=2048.0).withColumn("gap", F.col("time_seconds") - F.col("prev_time_seconds"))
+    return top(gaps.filter(F.col("gap") >= least), n, by=by, order=[F.desc("gap"), F.asc(row)], rank="rank")
+
+
+def temporal_overlap(df: DataFrame, *, by: list[str], confidence: float = 0.5, overlap: float = 0.7, tie: list[str] = ()) -> DataFrame:
+    """Per sequence: rows, rows of low confidence, and rows whose box overlaps the one before too little."""
+    corners = ["x1", "y1", "x2", "y2"]
+    rows = neighbours(df, by=by, order="frame", columns=corners, tie=tie)
+    share = iou(tuple(F.col(c) for c in corners), tuple(F.col(f"prev_{c}") for c in corners))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("detected"), F.count_if(F.col("confidence") < confidence).alias("low_confidence"), F.count_if(F.col("prev_x1").isNotNull() & (share < overlap)).alias("low_overlap"),
+    )

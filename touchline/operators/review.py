@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.geometry import distance
 from touchline.operators.motion import islands
-from touchline.operators.sequence import neighbours, running_count
+from touchline.operators.select import top
+from touchline.operators.sequence import first_per, neighbours, running_count
 
 
 def segment_windows(segments: DataFrame, *, by: list[str], short: float = 0.5) -> DataFrame:
@@ -84,3 +87,43 @@ def nested_count(df: DataFrame, column: str) -> DataFrame:
     """Entries per outer and inner key of a map of maps of arrays."""
     outer = df.select(F.explode(column).alias("outer", "inner"))
     return outer.select("outer", F.explode("inner").alias("inner", "items")).groupBy("outer", "inner").agg(F.sum(F.size("items")).alias("n"))
+
+
+def numbered_windows(segments: DataFrame, advisory: DataFrame, *, by: list[str]) -> DataFrame:
+    """The windows of ``segment_windows`` and a second around advisory stretches (start_time, end_time), numbered by priority and centre; equal ones by window and segment."""
+    own = segment_windows(segments, by=by)
+    s, e = F.col("start_time"), F.col("end_time")
+    more = advisory.select(*by, F.lit(None).cast(own.schema["segment"].dataType).alias("segment"), F.lit("advisory_window").alias("kind"), F.lit(3).alias("priority"), s.alias("center_time"), F.greatest(s - 1.0, F.lit(0.0)).alias("window_start"), (e + 1.0).alias("window_end"))
+    both = own.unionByName(more)
+    # by priority first, so the priorities' numbers are counted apart, each in blocks of time
+    counted = running_count(both, by=[*by, "priority"], order="center_time", flag=F.lit(True), name="_k", tie=["window_start", "segment"], block=2048.0)
+    before = both.groupBy(*by).agg(*[F.count_if(F.col("priority") < p).alias(f"_n{p}") for p in range(4)])
+    offset = F.element_at(F.array(*[F.col(f"_n{p}") for p in range(4)]), F.col("priority") + 1)
+    out = counted.join(before, by).withColumn("number", F.col("_k") + offset)
+    return out.withColumn("review_id", F.format_string("review_%04d", "number")).drop("_k", *[f"_n{p}" for p in range(4)])
+
+
+def hard_frames(rows: DataFrame, most: int, *, by: list[str], row: str) -> DataFrame:
+    """At most ``most`` frames a sequence worth a review, with the reason: low confidence, ends and middles of gaps, jumps, made readings.
+
+    A quarter of them (four at least) for each reason; a frame keeps its first reason; what is left is filled up with further readings of low confidence.
+    ``rows`` has frame, confidence, dt_seconds, ball_speed_px_per_second, frame_gap and interpolated.
+    """
+    k = max(4, most // 4)
+    low = top(rows.filter("confidence between 0.15 and 0.45"), k + most, by=by, order=[F.asc("confidence"), F.asc(row)], rank="_q")
+    gaps = top(rows.filter("dt_seconds >= 0.5"), k, by=by, order=[F.desc("dt_seconds"), F.asc(row)], rank="_q").withColumn("_q", 2 * F.col("_q"))
+    middle = gaps.withColumns({"frame": F.greatest(F.lit(0), F.col("frame") - F.rint(F.col("frame_gap") / 2).cast("int")), "_q": F.col("_q") + 1})
+    jumps = top(rows.filter("dt_seconds <= 0.2 and ball_speed_px_per_second >= 650"), k, by=by, order=[F.desc("ball_speed_px_per_second"), F.asc(row)], rank="_q")
+    made = rows.filter("interpolated")
+    made = running_count(made, by=by, order="frame", flag=F.lit(True), name="_i", tie=[row]).withColumn("_i", F.col("_i") - 1).join(made.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    every = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
+    made = made.filter((F.col("_i") % every == 0) & (F.floor(F.col("_i") / every) < k)).withColumn("_q", F.col("_i"))
+    parts = [("low_confidence_detection", 0, low.filter(F.col("_q") <= k)), ("detection_gap_end", 1, gaps), ("detection_gap_middle", 1, middle), ("suspicious_ball_jump", 2, jumps), ("interpolated_position", 3, made)]
+    named = [p.select(*by, "frame", F.lit(name).alias("reason"), F.lit(i).alias("_p"), F.col("_q").cast("long").alias("_q")) for name, i, p in parts]
+    first = first_per(reduce(DataFrame.unionByName, named), [*by, "frame"], [F.asc("_p"), F.asc("_q")])
+    kept = top(first, most, by=by, order=[F.asc("_p"), F.asc("_q")])
+    # at most ``most`` of the further ones are needed, and as many may be among those kept already
+    lacking = kept.groupBy(*by).agg((F.lit(most) - F.count(F.lit(1))).alias("_open")).filter("_open > 0")
+    rest = low.join(kept.select(*by, "frame"), [*by, "frame"], "left_anti").join(lacking, by)
+    rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_q"))).filter(F.col("_r") <= F.col("_open"))
+    return kept.select(*by, "frame", "reason").unionByName(rest.select(*by, "frame", F.lit("low_confidence_detection").alias("reason")))

@@ -32,9 +32,23 @@ def prioritised(parts: list[tuple[str, DataFrame]], *, keys: list[str], order: l
     return rows.drop("_p")
 
 
-def top(df: DataFrame, n: int, *, by: list[str], order: list[Column]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+def top(df: DataFrame, n: int, *, by: list[str], order: list[Column], rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each group, with their ``rank`` if it has a name; the limit acts before the exchange."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    out = df.withColumn(rank or "_r", place).filter(F.col(rank or "_r") <= n)
+    return out if rank else out.drop("_r")
+
+
+def between(df: DataFrame, time: str, start: float, end: float) -> DataFrame:
+    """Rows of a time window; both ends count."""
+    return df.filter(F.col(time).between(start, end))
+
+
+def best_per_segment(df: DataFrame, candidates: DataFrame, n: int, *, by: list[str], time: str, score: str, row: str) -> DataFrame:
+    """The candidate of the greatest score (ties: the smaller ``row``) in each of ``n`` equal parts of a sequence's time span; sequences without extent have none."""
+    span = df.groupBy(*by).agg(F.min(time).alias("_a"), F.max(time).alias("_z")).filter("_z > _a")
+    part = F.least(F.floor((F.col(time) - F.col("_a")) / ((F.col("_z") - F.col("_a")) / n)), F.lit(n - 1)).cast("int")
+    return candidates.join(span, by).groupBy(*by, part.alias("part")).agg(F.max_by(row, F.struct(F.col(score), -F.col(row))).alias(row))
 
 
 def expand_offsets(df: DataFrame, offsets: list[int], last: Column | int, *, by: list[str], frame: str = "frame") -> DataFrame:

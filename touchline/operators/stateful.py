@@ -183,6 +183,14 @@ def possession_segments(df: DataFrame, *, by: list[str], spec: ChainSpec = Chain
     return out.join(before, [*by, "_part"]).withColumn("segment", F.col("segment") + F.col("_before")).drop("_part", "_before")
 
 
+def chain_summary(frames: DataFrame, segments: DataFrame, *, by: list[str]) -> DataFrame:
+    """Per sequence: frames by possession state, number of segments, their total and (exact) median duration; 0 where there is none."""
+    states = ("controlled", "in_transit", "loose_or_unclear", "pending_control")
+    out = frames.groupBy(*by).agg(*[F.count_if(F.col("possession_state") == s).alias(f"{s}_frames") for s in states])
+    parts = segments.groupBy(*by).agg(F.count(F.lit(1)).alias("segments"), F.sum("duration_seconds").alias("total_seconds"), F.median("duration_seconds").alias("median_seconds"))
+    return out.join(parts, by, "left").fillna({"segments": 0, "total_seconds": 0.0, "median_seconds": 0.0})
+
+
 @dataclass(frozen=True)
 class BallTrackSpec:
     restart: float = 0.45

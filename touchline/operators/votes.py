@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,50 @@ def remap_ids(df: DataFrame, mapping: DataFrame, *, keys: list[str], old: str, n
     first = first_per(mapping, [*keys, old], [F.asc(order)]).select(*keys, F.col(old).cast("string").alias("_old"), F.col(new).cast("string").alias("_new"))
     out = df.withColumn("_old", F.col(old).cast("string")).join(first, [*keys, "_old"], "left")
     return out.withColumns({f"original_{old}": F.col("_old"), old: F.coalesce("_new", "_old"), "id_source": F.when(F.col("_new").isNotNull(), "remapped").otherwise("original")}).drop("_old", "_new")
+
+
+def with_vote_confidence(df: DataFrame) -> DataFrame:
+    """The confidence of a voted team: the lesser of its share and of its votes' mean confidence."""
+    return df.withColumn("confidence", F.least("team_vote_share", F.coalesce("team_mean_confidence", F.lit(0.0))))
+
+
+def track_involvement(stability: DataFrame, tracks: DataFrame, association: DataFrame, chain: DataFrame, *, by: list[str], track: str) -> DataFrame:
+    """Tracks with the rows in which they were nearest (``association.player``), nearest to a controlled ball, and in possession (``chain``), and their rows by
+    zone; 0 where there is none. Track ids meet as whole numbers."""
+    number = lambda c: F.col(c).try_cast("double").cast("bigint").alias(track)
+    near = association.filter("player is not null").groupBy(*by, number("player")).agg(F.count(F.lit(1)).alias("nearest_rows"), F.count_if(F.col("state") == "controlled").alias("controlled_nearest_rows"))
+    held = chain.filter("possession_player is not null").groupBy(*by, number("possession_player")).agg(F.count(F.lit(1)).alias("possession_rows"))
+    zones = tracks.groupBy(*by, track).agg(F.count_if(F.col("field_zone") == "strict").alias("strict_rows"), F.count_if(F.col("field_zone") == "tolerant").alias("tolerant_rows"))
+    out = stability
+    for part in (zones, near, held):
+        out = out.join(part, [*by, track], "left")
+    return out.fillna(0, ["strict_rows", "tolerant_rows", "nearest_rows", "controlled_nearest_rows", "possession_rows"])
+
+
+def exclude_unstable(rows: DataFrame, flags: DataFrame, *, by: list[str], player: str, unstable: tuple[str, ...] = ("jumpy_track", "gappy_track")) -> DataFrame:
+    """Rows with their player's ``stability_flag`` and ``excluded`` set where that is unstable (or was set before)."""
+    out = rows.join(flags, [*by, player], "left")
+    return out.withColumn("excluded", F.coalesce("excluded", F.lit(False)) | F.coalesce(F.col("stability_flag").isin(*unstable), F.lit(False)))
+
+
+def exclusion_keys(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All keys that any part excludes, each once."""
+    return reduce(DataFrame.union, [p.select(*keys) for p in parts]).distinct()
+
+
+def majority_exclusions(rows: DataFrame, votes: DataFrame, *, keys: list[str], label: str, gone: str, least_votes: int = 1, least_share: float = 0.67) -> tuple[DataFrame, DataFrame]:
+    """Rows kept and rows removed: removed are those whose key's majority label is ``gone``, by enough votes and a large enough share."""
+    best = majority(votes, keys=keys, value=label).filter((F.col(label) == gone) & (F.col("total") >= least_votes) & (F.col("share") >= least_share)).select(*keys)
+    return rows.join(best, keys, "left_anti"), rows.join(best, keys, "left_semi")
+
+
+def track_rates(tracked: DataFrame, *, by: list[str], track: str) -> DataFrame:
+    """Per sequence: detections, tracks, their median length, the frame rate as seen, tracks of two seconds or more, and the share of new detections."""
+    lengths = tracked.groupBy(*by, track).agg(F.count(F.lit(1)).alias("_n"))
+    seconds = F.max("time_seconds") - F.min("time_seconds")
+    whole = tracked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("detections"), F.try_divide(F.max("frame") - F.min("frame"), F.when(seconds > 0, seconds)).alias("fps_estimate"), F.avg((F.col("track_status") == "new").cast("int")).alias("new_detection_rate"),
+    )
+    least = F.greatest(F.lit(2.0), F.rint(F.coalesce("fps_estimate", F.lit(1.0)) * 2))
+    out = lengths.join(whole, by).groupBy(*by, "detections", "fps_estimate", "new_detection_rate")
+    return out.agg(F.count(F.lit(1)).alias("tracks"), F.median("_n").alias("median_track_detections"), F.count_if(F.col("_n") >= least).alias("long_tracks_2s"))
