@@ -118,7 +118,8 @@ def interval_buckets(lo: Column, hi: Column, width: float, *, coarser: bool = Fa
     parts = []
     for at in range(levels):
         w = width * factor**at
-        here = F.transform(F.sequence(F.floor(lo / w), F.floor(hi / w)), lambda b, at=at: F.struct(F.lit(at).alias("level"), b.alias("bucket")))
+        level = F.lit(at).alias("level")
+        here = F.transform(F.sequence(F.floor(lo / w), F.floor(hi / w)), lambda b: F.struct(level, b.alias("bucket")))
         parts.append(F.when(F.lit(at) >= own if coarser else F.lit(at) == own, here).otherwise(F.array().cast("array<struct<level: int, bucket: bigint>>")))
     return F.concat(*parts)
 

@@ -108,8 +108,8 @@ def drop_hotspots(df: DataFrame, *, by: list[str], x: str = "center_x", y: str =
     return cells.join(hot, [*by, "_gx", "_gy"], "left_anti").drop("_gx", "_gy")
 
 
-def interpolate(df: DataFrame, fps: float, *, by: list[str], max_gap_s: float, max_speed: float | None = None, source: str = "interpolated", tie: list[str] = ()) -> DataFrame:
-    """Fills gaps of at most int(fps * max_gap_s) missing frames linearly; longer or too fast gaps stay.
+def interpolate(df: DataFrame, fps: float, *, by: list[str], max_gap_s: float | Column, max_speed: float | Column | None = None, source: str = "interpolated", tie: list[str] = ()) -> DataFrame:
+    """Fills gaps of at most int(fps * max_gap_s) missing frames linearly; longer or too fast gaps stay. Limits may be columns, such as a setting's.
 
     Made rows take other columns from the row before, but have no confidence.
     """
@@ -117,7 +117,7 @@ def interpolate(df: DataFrame, fps: float, *, by: list[str], max_gap_s: float, m
     df = df if "source" in df.columns else df.withColumn("source", F.lit("detected"))
     wide = neighbours(df, by=by, order="frame", columns=["frame", *places], tie=tie, previous=False, following=True)
     gap = F.col("next_frame") - F.col("frame")
-    ok = (gap > 1) & (gap - 1 <= int(fps * max_gap_s))
+    ok = (gap > 1) & (gap - 1 <= (F.floor(max_gap_s * F.lit(float(fps))) if isinstance(max_gap_s, Column) else int(fps * max_gap_s)))
     if max_speed is not None:
         ok = ok & (distance("next_center_x", "next_center_y", "center_x", "center_y") / (gap / F.lit(float(fps))) <= max_speed)
     made = wide.filter(ok).withColumn("_gap", gap).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_gap") - 1)))

@@ -68,10 +68,10 @@ def appearance_clusters(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (possession_segments, possession_frames, possession_summary, smooth_states, ball_path, ball_path_legacy, player_tracks, appearance_clusters)}
 
-def chain_sql(confirm: int, source: str = "assoc", before: str = "") -> str:
+def chain_sql(confirm: int, source: str = "assoc", before: str = "", distance: float = 80, carry: float = 2, order: str = "frame", views_sql: str | None = None) -> str:
     """The possession chain as recursive SQL over ``source`` (default: the latest association rows); ``before`` are further views it needs."""
-    head = "WITH RECURSIVE " + (before + ",\n" if before else "") + views.SQL["assoc"] + """,
-o AS (SELECT video, frame, time, player, state, row_number() OVER (PARTITION BY video ORDER BY frame) AS rn, coalesce(state = 'controlled' AND player IS NOT NULL AND distance <= 80, false) AS ev FROM __SOURCE__ q),
+    head = "WITH RECURSIVE " + (before + ",\n" if before else "") + (views.SQL["assoc"] if views_sql is None else views_sql) + """,
+o AS (SELECT video, frame, time, player, state, row_number() OVER (PARTITION BY video ORDER BY __ORDER__) AS rn, coalesce(state = 'controlled' AND player IS NOT NULL AND distance <= __DISTANCE__, false) AS ev FROM __SOURCE__ q),
 rec AS (
   SELECT DISTINCT video, 0::BIGINT AS rn, NULL::VARCHAR AS owner, NULL::VARCHAR AS cand, 0 AS seen, NULL::DOUBLE AS cfrom, 0 AS seg, NULL::DOUBLE AS t0, NULL::INTEGER AS f0,
     NULL::VARCHAR AS c_owner, NULL::DOUBLE AS c_t0, NULL::INTEGER AS c_f0, NULL::DOUBLE AS c_t1, NULL::INTEGER AS c_f1, 0 AS c_seg, NULL::VARCHAR AS c_why FROM o
@@ -79,7 +79,7 @@ rec AS (
   SELECT video, rn, CASE WHEN conf THEN player WHEN tout THEN NULL ELSE owner END, CASE WHEN conf OR NOT ev OR player = coalesce(owner, '') THEN NULL ELSE player END, CASE WHEN conf THEN 0 ELSE n END, CASE WHEN tout THEN NULL ELSE cf END,
     seg + conf::INT, CASE WHEN conf THEN time ELSE t0 END, CASE WHEN conf THEN frame ELSE f0 END,
     CASE WHEN (conf OR tout) THEN owner END, t0, f0, time, frame, seg, CASE WHEN conf THEN 'confirmed_new_controller' WHEN tout THEN 'carry_forward_timeout' END
-  FROM (SELECT *, ev AND player IS DISTINCT FROM owner AND n >= __K__ AS conf, carry AND time - cf > 2 AS tout FROM (
+  FROM (SELECT *, ev AND player IS DISTINCT FROM owner AND n >= __K__ AS conf, carry AND time - cf > __CARRY__ AS tout FROM (
     SELECT r.video, o.rn, r.owner, r.seg, r.t0, r.f0, o.player, o.time, o.frame, o.ev, NOT o.ev AND r.owner IS NOT NULL AND o.state IN ('in_transit', 'loose_or_unclear') AS carry,
       CASE WHEN NOT o.ev OR o.player = r.owner THEN 0 WHEN o.player = r.cand THEN r.seen + 1 ELSE 1 END AS n,
       CASE WHEN o.ev OR r.owner IS NULL THEN NULL WHEN o.state IN ('in_transit', 'loose_or_unclear') THEN coalesce(r.cfrom, o.time) ELSE r.cfrom END AS cf
@@ -88,7 +88,7 @@ ends AS (SELECT video, arg_max(owner, rn) AS owner, arg_max(seg, rn) AS seg, arg
 segs AS (SELECT video, c_seg AS segment, c_owner AS player_id, c_t0 AS t0, c_t1 AS t1, c_f0 AS f0, c_f1 AS f1, c_why AS why FROM rec WHERE c_owner IS NOT NULL
   UNION ALL SELECT e.video, e.seg, (SELECT r.owner FROM rec r WHERE r.video = e.video AND r.rn = e.rn), e.t0, o.time, e.f0, o.frame, 'end_of_input' FROM ends e JOIN o ON o.video = e.video AND o.rn = e.rn
     WHERE (SELECT r.owner FROM rec r WHERE r.video = e.video AND r.rn = e.rn) IS NOT NULL)"""
-    return head.replace("__SOURCE__", source).replace("__K__", str(confirm))
+    return head.replace("__SOURCE__", source).replace("__K__", str(confirm)).replace("__DISTANCE__", str(distance)).replace("__CARRY__", str(carry)).replace("__ORDER__", order)
 
 
 _CHAIN_SQL = chain_sql(5)

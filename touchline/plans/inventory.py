@@ -74,11 +74,13 @@ def longest_gaps(s, d):  # noqa: ANN001, ANN201
 
 # --- the possession chain: frames, summary, sweeps, exclusion of unstable tracks
 
-_FRAMES = automata._CHAIN_SQL + """,
+#: SQL: what holds at every row, after the views of ``automata.chain_sql``.
+FRAMES_SQL = """,
 told AS (SELECT o.video, o.frame, o.player, o.state, o.ev, o.time, r.owner, r.seg, r.cand, r.seen, r.cfrom, r.c_why, p.owner AS had FROM rec r JOIN o ON o.video = r.video AND o.rn = r.rn JOIN rec p ON p.video = r.video AND p.rn = r.rn - 1),
 pf AS (SELECT *, CASE WHEN ev AND player IS NOT DISTINCT FROM owner THEN 'controlled' WHEN ev AND had IS NULL THEN 'pending_control' WHEN ev THEN 'in_transit' ELSE state END AS possession_state,
   CASE WHEN ev AND player IS NOT DISTINCT FROM owner AND player IS DISTINCT FROM had THEN 'confirmed_new_controller' WHEN ev AND had IS NOT NULL AND player IS DISTINCT FROM owner THEN 'candidate_controller_not_confirmed'
     WHEN NOT ev AND had IS NOT NULL AND owner IS NULL THEN 'carry_forward_timeout' ELSE '' END AS why FROM told)"""
+_FRAMES = automata._CHAIN_SQL + FRAMES_SQL
 
 ORACLES["possession_frames"] = _FRAMES + """ SELECT video, frame, possession_state, CASE WHEN possession_state = 'pending_control' THEN NULL ELSE owner END AS possession_player, CASE WHEN owner IS NOT NULL THEN seg END AS segment, why AS transition_reason FROM pf"""
 

@@ -3,32 +3,68 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.operators import associate, motion, stateful
-from touchline.plans import views
+from touchline.operators import associate, evaluate, motion, stateful
+from touchline.plans import automata, inventory, reference, views
 from touchline.session import materialise, shared_dir
 from touchline.sources.tables import table
 from touchline.streaming import live
 
 
-def clip_possessions(balls: DataFrame, players: DataFrame, fps: float, *, by: list[str], max_gap_s: float = 1.0, max_speed: float = 2500.0, spec: stateful.ChainSpec = stateful.ChainSpec(confirm=15), **limits: float) -> DataFrame:
-    """Ball readings and players to possession segments: fill gaps, motion, nearest on-field player, ball state, hysteresis.
+def clip_rows(balls: DataFrame, players: DataFrame, fps: float, *, by: list[str], max_gap_s: float | Column = 1.0, max_speed: float | Column = 2500.0, place: list[str] | None = None, **limits: float) -> tuple[DataFrame, DataFrame]:
+    """Ball readings and players to the filled path and the rows the possession chain takes: fill gaps, motion, nearest on-field player, ball state.
 
-    ``by`` may hold more than a clip, such as a parameter setting: all settings then run in one job. ``limits`` are those of ``associate.ball_state``.
+    ``by`` may hold more than a clip, such as a parameter setting: all settings then run in one job, and players join by ``place`` (the clip) alone, unrepeated.
+    ``limits`` are those of ``associate.ball_state``.
     """
     path = motion.interpolate(balls, fps, by=by, max_gap_s=max_gap_s, max_speed=max_speed, source="interpolated_extended", tie=["detection_id"])
     path = materialise(path.withColumn("row", F.struct(*by, "detection_id", "frame")), "path")
     moved = materialise(motion.motion(path, fps, by=by, tie=["detection_id"]), "motion")
-    near = associate.nearest(moved, players, keys=[*by, "frame"], row="row", keep=["field_zone"], prefer=F.col("field_zone") == "strict")
+    near = associate.nearest(moved, players, keys=[*(place or by), "frame"], row="row", keep=["field_zone"], prefer=F.col("field_zone") == "strict")
     _, state = associate.ball_state(F.col("ball_speed_px_per_second"), F.col("nearest_player_distance_px"), F.col("nearest_player_field_zone"), **limits)
-    rows = near.select(
-        *by, "frame", (F.col("frame") / fps).alias("time"), F.col("nearest_player_id").cast("string").alias("player"), F.col("nearest_player_distance_px").alias("distance"),
+    return path, near.select(
+        *by, "detection_id", "frame", (F.col("frame") / fps).alias("time"), F.col("nearest_player_id").cast("string").alias("player"), F.col("nearest_player_distance_px").alias("distance"),
         F.col("ball_speed_px_per_second").alias("speed"), state.alias("state"), F.lit(False).alias("excluded"), F.lit(False).alias("repaired"),
     )
-    return stateful.possession_segments(rows, by=by, spec=spec)
+
+
+def clip_possessions(balls: DataFrame, players: DataFrame, fps: float, *, by: list[str], spec: stateful.ChainSpec = stateful.ChainSpec(confirm=15), **settings) -> DataFrame:  # noqa: ANN003
+    """Ball readings and players to possession segments: ``clip_rows``, then hysteresis."""
+    return stateful.possession_segments(clip_rows(balls, players, fps, by=by, **settings)[1], by=by, spec=spec, tie=["detection_id"])
+
+
+def sweep(balls: DataFrame, players: DataFrame, fps: float, settings: list[tuple[float, float]], *, by: list[str], spec: stateful.ChainSpec, **limits: float) -> DataFrame:
+    """Every setting (longest gap in seconds, greatest speed) through filling, association and chain, in one job; a summary row a clip and setting."""
+    params = F.array(*[F.struct(F.lit(float(g)).alias("max_gap_seconds"), F.lit(float(v)).alias("max_speed")) for g, v in settings])
+    each = [*by, "max_gap_seconds", "max_speed"]
+    path, rows = clip_rows(balls.withColumn("_p", F.explode(params)).select("*", "_p.*").drop("_p"), players, fps, by=each, max_gap_s=F.col("max_gap_seconds"), max_speed=F.col("max_speed"), place=by, **limits)
+    rows = materialise(rows, "sweep")
+    made = path.groupBy(*each).agg(F.count(F.lit(1)).alias("path_rows"), F.count_if(F.col("source") != "detected").alias("interpolated_rows"))
+    chain = stateful.chain_summary(stateful.possession_frames(rows, by=each, spec=spec, tie=["detection_id"]), stateful.possession_segments(rows, by=each, spec=spec, tie=["detection_id"]), by=each)
+    return made.join(chain, each)
+
+
+def handoff(labels: DataFrame, items: DataFrame, old: DataFrame, new: DataFrame, rerun: Callable[[str], DataFrame], venues: list[str], *, key: str) -> dict[str, DataFrame]:
+    """From exported labels to reruns: errors of the labels, metrics of the old and the new model's outcomes, their comparison, and each venue's possessions.
+
+    Every part is a plan of its own; ``explain()`` on it is a dry run.
+    """
+    checked = evaluate.validate_items(items, evaluate.validate_boxes(labels), key="item")
+    compared = evaluate.compare_outcomes(old, new, key=key)
+    return {
+        "label_errors": evaluate.error_counts(checked), "old_metrics": evaluate.detection_metrics(old, []), "new_metrics": evaluate.detection_metrics(new, []),
+        "comparison": compared.groupBy("comparison_result").agg(F.count(F.lit(1)).alias("n")), **{f"possessions_{v}": rerun(v) for v in venues},
+    }
+
+
+#: Wide limits: few frames of these tables hold both ball and players.
+_WIDE = stateful.ChainSpec(confirm=2, max_distance=500.0, carry_s=5.0)
+_LIMITS = {"max_distance": 800.0, "control_distance": 500.0, "controlled_speed": 9000.0, "transit_speed": 20000.0}
+_SETTINGS = [(g, v) for g in (0.5, 0.75, 1.0, 1.5) for v in (1200.0, 1800.0, 2500.0, 3500.0)]
 
 
 def _inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -38,8 +74,35 @@ def _inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def clip_pipeline(s: SparkSession, d: str) -> DataFrame:
     balls, players = _inputs(s, d)
-    spec = stateful.ChainSpec(confirm=2, max_distance=500.0, carry_s=5.0)  # wide limits: few frames here hold both ball and players
-    return clip_possessions(balls, players, views.FPS, by=["video"], spec=spec, max_distance=800.0, control_distance=500.0, controlled_speed=9000.0, transit_speed=20000.0)
+    p = clip_possessions(balls, players, views.FPS, by=["video"], spec=_WIDE, **_LIMITS)
+    return p.withColumns({c: F.round(c, 6) for c in ("start_time", "end_time", "duration_seconds")})
+
+
+def settings_sweep(s: SparkSession, d: str) -> DataFrame:
+    balls, players = _inputs(s, d)
+    out = sweep(balls, players, views.FPS, _SETTINGS, by=["video"], spec=_WIDE, **_LIMITS)
+    return out.withColumns({c: F.round(c, 4) for c in ("total_seconds", "median_seconds")})
+
+
+def handoff_summary(s: SparkSession, d: str) -> DataFrame:
+    """The hand-off's parts as one table of step, name and number."""
+    labels, old, new = reference.box_labels(s, d), reference._outcomes(s, d, 9, 0.4), reference._outcomes(s, d, 5, 0.3)
+    balls, players = _inputs(s, d)
+    videos = ["video_a", "video_b"]
+    rank = balls.groupBy("video").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "video").limit(2).collect()  # the venues of this run
+
+    def rerun(name: str) -> DataFrame:
+        video = dict(zip(videos, [r["video"] for r in rank])).get(name)
+        return clip_possessions(balls.filter(F.col("video") == video), players.filter(F.col("video") == video), views.FPS, by=["video"], spec=_WIDE, **_LIMITS)
+
+    parts = handoff(labels, labels.select("item").distinct(), old, new, rerun, videos, key="k")
+    out = parts["label_errors"].select(F.lit("label_errors").alias("step"), F.col("error").alias("name"), "n").unionByName(parts["comparison"].select(F.lit("comparison").alias("step"), F.col("comparison_result").alias("name"), "n"))
+    for side in ("old_metrics", "new_metrics"):
+        m = parts[side].select(F.lit(side).alias("step"), F.expr("stack(2, 'true_positive', true_positive, 'missed_ball', missed_ball) AS (name, n)"))
+        out = out.unionByName(m)
+    for v in videos:
+        out = out.unionByName(parts[f"possessions_{v}"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("possessions").alias("step"), F.lit(v).alias("name"), "n"))
+    return out
 
 
 def control_sweep(s: SparkSession, d: str) -> DataFrame:
@@ -78,11 +141,50 @@ def stream_rates(s: SparkSession, d: str) -> DataFrame:
     """Sliding event rates of the whole events table, also of the windows still open at its end, run as a stream."""
     src = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     e = src.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return run_stream(live.windowed_rates(e, key="event_type", ts="ts", value="value", size="2 days", slide="1 day", late="1 hour"), "rates", "complete")
+    out = run_stream(live.windowed_rates(e, key="event_type", ts="ts", value="value", size="2 days", slide="1 day", late="1 hour"), "rates", "complete")
+    return out.select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.round("total", 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (clip_pipeline, settings_sweep, handoff_summary, control_sweep, event_sessions, stream_rates)}
+
+_ALL_PLAYERS = "pl AS (SELECT video, frame, player_id, foot_x, foot_y, field_zone FROM players WHERE field_zone <> 'off_field')"
+
+
+def _clip_sql(settings: bool) -> str:
+    """SQL: the clip pipeline's chain; with ``settings`` every clip once a setting, named "clip|gap|speed"."""
+    values = ", ".join(f"({g}::DOUBLE, {v}::DOUBLE)" for g, v in (_SETTINGS if settings else [(1.0, 2500.0)]))
+    name = "b.video || '|' || g || '|' || v" if settings else "b.video"
+    rows = f"""{views.SQL['balls'].replace('balls AS', 'base AS', 1)}, {views.SQL['players']}, {_ALL_PLAYERS},
+balls AS (SELECT {name} AS video, b.video AS place, g, v, detection_id, frame, center_x, center_y FROM base b, (VALUES {values}) st(g, v)),
+nx AS (SELECT *, lead(frame) OVER w AS nf, lead(center_x) OVER w AS nx, lead(center_y) OVER w AS ny FROM balls WINDOW w AS (PARTITION BY video ORDER BY frame, detection_id)),
+mk AS (SELECT *, nf - frame AS gap, unnest(generate_series(1, nf - frame - 1)) AS k FROM nx WHERE nf - frame > 1 AND nf - frame - 1 <= floor(30 * g) AND sqrt((nx - center_x) * (nx - center_x) + (ny - center_y) * (ny - center_y)) / ((nf - frame) / 30.0::DOUBLE) <= v),
+path AS (SELECT video, place, detection_id, CAST(frame + k AS INTEGER) AS frame, center_x + (k / gap::DOUBLE) * (nx - center_x) AS center_x, center_y + (k / gap::DOUBLE) * (ny - center_y) AS center_y, true AS made FROM mk UNION ALL SELECT video, place, detection_id, frame, center_x, center_y, false FROM balls),
+lg AS (SELECT *, lag(frame) OVER w AS pf, lag(center_x) OVER w AS px, lag(center_y) OVER w AS py FROM path WINDOW w AS (PARTITION BY video ORDER BY frame, detection_id)),
+sp AS (SELECT *, sqrt((center_x - px) * (center_x - px) + (center_y - py) * (center_y - py)) AS di, (frame - pf) / 30.0::DOUBLE AS dt FROM lg), sv AS (SELECT *, CASE WHEN dt > 0 THEN di / dt WHEN dt = 0 AND di > 0 THEN 'inf'::DOUBLE END AS speed FROM sp),
+cd AS (SELECT s.video, s.frame, s.detection_id, p.player_id, p.field_zone AS z, sqrt((s.center_x - p.foot_x) * (s.center_x - p.foot_x) + (s.center_y - p.foot_y) * (s.center_y - p.foot_y)) AS d FROM sv s JOIN pl p ON p.video = s.place AND p.frame = s.frame),
+nr AS (SELECT video, frame, detection_id, min(struct_pack(d := d, p := player_id)) AS m, min(struct_pack(d := d, p := player_id)) FILTER (z = 'strict') AS q FROM cd GROUP BY 1, 2, 3),
+nd AS (SELECT sv.*, CASE WHEN q.d <= 150 THEN q ELSE m END AS b FROM sv LEFT JOIN nr USING (video, frame, detection_id)),
+assoc AS (SELECT video, frame, detection_id, frame / 30.0::DOUBLE AS time, CAST(b.p AS VARCHAR) AS player, b.d AS distance, speed, NULL AS zone,
+  CASE WHEN b.d IS NULL THEN 'unknown' WHEN speed >= 20000 THEN 'in_transit' WHEN b.d > 800 THEN 'loose_or_unclear' WHEN b.d <= 500 AND (speed IS NULL OR speed <= 9000) THEN 'controlled' ELSE 'loose_or_unclear' END AS state FROM nd)"""
+    return automata.chain_sql(2, distance=500, carry=5, order="frame, detection_id", views_sql=rows)
+
+
+def _setting(chain: str) -> str:
+    return chain + inventory.FRAMES_SQL + """, fr AS (SELECT video, count(*) FILTER (possession_state = 'controlled') AS controlled_frames, count(*) FILTER (possession_state = 'in_transit') AS in_transit_frames, count(*) FILTER (possession_state = 'loose_or_unclear') AS loose_or_unclear_frames,
+  count(*) FILTER (possession_state = 'pending_control') AS pending_control_frames FROM pf GROUP BY 1), zz AS (SELECT video, count(*) AS segments, round(sum(greatest(0, t1 - t0)), 4) AS total_seconds, round(median(greatest(0, t1 - t0)), 4) AS median_seconds FROM segs GROUP BY 1),
+pt AS (SELECT video, count(*) AS path_rows, count(*) FILTER (made) AS interpolated_rows FROM path GROUP BY 1)
+SELECT split_part(video, '|', 1) AS video, CAST(split_part(video, '|', 2) AS DOUBLE) AS max_gap_seconds, CAST(split_part(video, '|', 3) AS DOUBLE) AS max_speed, path_rows, interpolated_rows, controlled_frames, in_transit_frames, loose_or_unclear_frames, pending_control_frames,
+  coalesce(segments, 0) AS segments, coalesce(total_seconds, 0) AS total_seconds, coalesce(median_seconds, 0) AS median_seconds FROM pt JOIN fr USING (video) LEFT JOIN zz USING (video)"""
+
 
+_SEGMENT_COLUMNS = "video, segment, player_id, round(t0, 6) AS start_time, round(t1, 6) AS end_time, round(greatest(0, t1 - t0), 6) AS duration_seconds, f0 AS start_frame, f1 AS end_frame, why AS end_reason"
 
-QUERIES = {f.__name__: f for f in (clip_pipeline, control_sweep, event_sessions, stream_rates)}
 ORACLES = {
+    "clip_pipeline": _clip_sql(False) + f" SELECT {_SEGMENT_COLUMNS} FROM segs",
+    "settings_sweep": _setting(_clip_sql(True)),
+    "control_sweep": " UNION ALL ".join(f"SELECT {k} AS confirm_rows, count(*) AS segments, round(sum(greatest(0, t1 - t0)), 4) AS total_seconds, round(median(greatest(0, t1 - t0)), 4) AS median_seconds FROM ({automata.chain_sql(k)} SELECT * FROM segs)" for k in (3, 5, 8)),
+    "stream_rates": """WITH w AS (SELECT event_type, (epoch_us(ts) // 86400000000 - k) * 86400000000 AS start_us, value FROM events, (VALUES (0), (1)) x(k) WHERE ts IS NOT NULL)
+      SELECT event_type, start_us, start_us + 172800000000 AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""",
     "event_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 21600000000 THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start_us, max(t) AS last_us, count(*) AS n FROM i GROUP BY user_id, k""",
 }

@@ -433,13 +433,30 @@ def value_by_type(s, d):  # noqa: ANN001, ANN201
     return value.value_pivot(value.static_values(_steps(s, d), GRID, 1920.0, 1080.0), ["video"], ["pass", "carry"]).select("video", *r6(**{"pass": "pass", "carry": "carry", "total_value": "total_value"}))
 
 
-@query(_STEPS + """, w AS (SELECT *, min(start_x) OVER () AS a, max(start_x) OVER () AS b, min(end_x) OVER () AS c, max(end_x) OVER () AS e FROM acts WHERE start_x BETWEEN 0 AND 4000 AND end_x BETWEEN 0 AND 4000),
+@query(_STEPS + """, w AS (SELECT *, min(start_x) OVER () AS a, max(start_x) OVER () AS b, min(end_x) OVER () AS c, max(end_x) OVER () AS e FROM acts),
 z AS (SELECT detection_id, greatest(ceil((start_x - a) / ((b - a) / 12)) - 1, 0) AS sb, greatest(ceil((end_x - c) / ((e - c) / 12)) - 1, 0) AS eb FROM w) SELECT detection_id, CAST(sb AS INTEGER) AS start_x_bin, CAST(eb AS INTEGER) AS end_x_bin, round((eb - sb) * (0.34::DOUBLE / 11), 6) AS value_added FROM z""")
 def binned_value(s, d):  # noqa: ANN001, ANN201
-    return value.binned_values(_steps(s, d).filter("start_x between 0 and 4000 and end_x between 0 and 4000")).select("detection_id", "start_x_bin", "end_x_bin", F.round("value_added", 6).alias("value_added"))
+    return value.binned_values(_steps(s, d)).select("detection_id", "start_x_bin", "end_x_bin", F.round("value_added", 6).alias("value_added"))
 
 
-@query()
+def _cell(x: str, y: str) -> str:
+    b = lambda v, ext, n: f"least(greatest(CAST(trunc({v} / {ext}.0::DOUBLE * {n}) AS BIGINT), 0), {n - 1})"
+    return f"{b(y, 1080, 12)} * 16 + {b(x, 1920, 16)}"
+
+
+_THREAT = _STEPS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", c AS (SELECT CASE WHEN detection_id % 11 = 0 THEN 'shot' ELSE event_type END AS k, end_x >= start_x AS ok, detection_id % 33 = 0 AS goal, {_cell('start_x', 'start_y')} AS a, {_cell('end_x', 'end_y')} AS b
+  FROM acts WHERE start_x BETWEEN -5000 AND 20000 AND start_y BETWEEN -5000 AND 20000 AND end_x BETWEEN -5000 AND 20000 AND end_y BETWEEN -5000 AND 20000),
+cells AS (SELECT range AS a FROM range(192)), n AS (SELECT a, count(*) FILTER (k = 'shot') AS s, count(*) FILTER (k = 'shot' AND goal) AS g, count(*) FILTER (k <> 'shot') AS m FROM c GROUP BY 1),
+f AS (SELECT cells.a, coalesce(s / greatest(s + m, 1)::DOUBLE * g / greatest(s, 1), 0) AS score, coalesce(m / greatest(s + m, 1)::DOUBLE, 0) AS move FROM cells LEFT JOIN n USING (a)),
+tr AS (SELECT c.a, c.b, count(*) FILTER (ok) / greatest(any_value(m), 1)::DOUBLE AS p FROM c JOIN n USING (a) WHERE k <> 'shot' GROUP BY 1, 2),
+ro AS (SELECT x.a, list(coalesce(p, 0) ORDER BY y.a) AS t FROM cells x CROSS JOIN cells y LEFT JOIN tr ON tr.a = x.a AND tr.b = y.a GROUP BY 1),
+ma AS (SELECT (SELECT list(score ORDER BY a) FROM f) AS sc, (SELECT list(move ORDER BY a) FROM f) AS mv, (SELECT list(t ORDER BY a) FROM ro) AS tt),
+it AS (SELECT 0 AS i, list_transform(range(192), lambda x: 0::DOUBLE) AS v, 1::DOUBLE AS diff UNION ALL SELECT i + 1, nv, list_max(list_transform(range(1, 193), lambda j: abs(nv[j] - v[j])))
+  FROM (SELECT i, v, list_transform(range(1, 193), lambda j: sc[j] + mv[j] * list_dot_product(tt[j], v)) AS nv FROM it, ma WHERE diff >= 1e-5 AND i < 200))
+SELECT CAST(j // 16 AS INTEGER) AS row, CAST(j % 16 AS INTEGER) AS col, round(v[j + 1], 8) AS value FROM (SELECT v FROM it ORDER BY i DESC LIMIT 1), (SELECT range AS j FROM range(192))"""
+
+
+@query(_THREAT)
 def expected_threat(s, d):  # noqa: ANN001, ANN201
     """Fitted on the steps of grid_value: places beyond 1920 x 1080 count in the border cells. Only steps from or to a place outside any picture, as p3 has it, are left out."""
     place = spikes.ChartSpec()
@@ -447,7 +464,7 @@ def expected_threat(s, d):  # noqa: ANN001, ANN201
     steps = _steps(s, d).filter(possible)
     steps = steps.withColumns({"event_type": F.when(F.pmod("detection_id", F.lit(11)) == 0, "shot").otherwise(F.col("event_type")), "success": F.col("end_x") >= F.col("start_x"), "goal": F.pmod("detection_id", F.lit(33)) == 0})
     surface = value.fit_expected_threat(steps, length=1920.0, width=1080.0)
-    return s.createDataFrame([(r, c, float(v)) for r, row in enumerate(surface) for c, v in enumerate(row)], "row int, col int, value double")
+    return s.createDataFrame([(r, c, round(float(v), 8)) for r, row in enumerate(surface) for c, v in enumerate(row)], "row int, col int, value double")
 
 
 _DET_SQL = with_views("balls") + """, items AS (SELECT DISTINCT video, frame, video || ':' || frame AS k FROM balls), truth AS (SELECT video || ':' || frame AS k, x1, y1, x2, y2 FROM balls WHERE detection_id % 10 <> 0),
@@ -503,12 +520,15 @@ g AS (SELECT item, count(*) FILTER (er IS NULL) AS valid_boxes, list(DISTINCT er
 i AS (SELECT g.item, valid_boxes, array_to_string(list_sort(list_concat(coalesce(es, []), CASE WHEN valid_boxes > 1 THEN ['multiple_ball_boxes'] ELSE [] END)), ';') AS validation_errors FROM g)"""
 
 
-def _validated(s, d):  # noqa: ANN001, ANN202
-    b = _b(s, d)
-    lab = b.select(
+def box_labels(s, d):  # noqa: ANN001, ANN201
+    return _b(s, d).select(
         F.floor(F.col("detection_id") / 3).alias("item"), F.when(F.pmod("detection_id", F.lit(25)) == 0, 1).otherwise(0).alias("class_id"), (F.col("center_x") / 1920).alias("x_center"), (F.col("center_y") / 1080).alias("y_center"),
         ((F.col("x2") - F.col("x1")) / 1920).alias("width"), ((F.col("y2") - F.col("y1")) / 1080).alias("height"), F.lit("").alias("parse_error"),
     )
+
+
+def _validated(s, d):  # noqa: ANN001, ANN202
+    lab = box_labels(s, d)
     return evaluate.validate_items(lab.select("item").distinct(), evaluate.validate_boxes(lab), key="item")
 
 
