@@ -6,7 +6,7 @@ import pytest
 
 from touchline.llm.leakage import Automaton, LeakSpec, find_leaks, leak_spans, remove_leaks, squeeze, squeeze_with_places
 from touchline.llm.mixture import budgets, mix, token_counter
-from touchline.llm.subjects import SubjectSpec, sentences, tag_subjects
+from touchline.llm.subjects import SubjectSpec, sentences, tag_subjects, train, units
 
 WORDS = [a + b for a in ("kar", "mol", "vis", "ten", "lun", "dra", "fos") for b in ("ba", "del", "ip", "mont", "o", "ush", "zan", "ek")]
 
@@ -113,7 +113,9 @@ def test_leaks_whole_partial_broken_and_altered(spark):
 def test_leaks_empty(spark):
     assert leaks(spark, [], [(1, "a b c", "")]) == set()
     assert leaks(spark, [(1, "a b c", "")], []) == set()
-    assert leaks(spark, [(1, "a b c", "")], [(1, "a b c", ""), (2, "...", "")]) == {(1, 1)}
+    short = "alpha beta gamma delta"  # has to be there whole
+    docs = [(1, f"so {short.upper()}!", ""), (2, "alpha beta gamma dexta", ""), (3, "a b c", "")]
+    assert leaks(spark, docs, [(1, short, ""), (2, "...", ""), (3, "a b c", "")]) == {(1, 1)}  # three letters say nothing
 
 
 def test_budgets():
@@ -159,6 +161,7 @@ def test_token_counter(spark):
 
 def test_sentences():
     assert len(sentences("One here. Two there!\n- three\n- four\nwrapped\nline goes on. <p>Six.</p><p>Seven</p>")) == 6
+    assert [len(u) for u in units(" ".join(["word"] * 45) + ". Two here.", 22)] == [15, 15, 15, 2]
     assert sentences("") == [] and sentences("... 12%") == [["0"]]
 
 

@@ -181,21 +181,22 @@ class Automaton:
     def _prefilter(self) -> None:
         """Hashes of all pieces of ``min_chars`` characters, the passages that hold each, and how many of a passage's a text must have at least to hold a leak."""
         m = self.spec.min_chars
-        grams, items, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        grams, items, least, runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
         for k, text in enumerate(self.flat):
             h = gram_hashes(codes(text), m)
             grams.append(h)
             items.append(np.full(len(h), k, dtype=np.int64))
             w, s = min(self.spec.min_words, len(self.starts[k]) - 1), self.starts[k]
-            run = int(np.min(s[w:] - s[:-w])) - m + 1 if w else 0
+            runs.append(max(m, int(np.min(s[w:] - s[:-w])) if w else m))
             # what is covered has at most m characters a piece; a piece counts as often as it stands in the passage
-            least.append(max(1, min(run, math.ceil(self.spec.coverage * self.lengths[k] / m))))
-        self.least = np.array(least, dtype=np.int64)
+            least.append(max(1, min(runs[-1] - m + 1, math.ceil(self.spec.coverage * self.lengths[k] / m))))
+        self.least, self.runs = np.array(least, dtype=np.int64), np.array(runs, dtype=np.int64)
         gram, item = np.concatenate(grams), np.concatenate(items)
+        at = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.lexsort((item, gram))
         self.grams, self.gram_start = np.unique(gram[order], return_index=True)
         self.gram_start = np.r_[self.gram_start, len(gram)]
-        self.gram_item = item[order].astype(np.int32)
+        self.gram_item, self.gram_at = item[order].astype(np.int32), at[order].astype(np.int32)
         self.bits = max(10, int(np.ceil(np.log2(16 * max(1, len(self.grams))))))
         self._sift()
 
@@ -219,7 +220,7 @@ class Automaton:
         return self._fast
 
     def candidates(self, texts: list[str], most: int = 4_000_000) -> np.ndarray:
-        """Positions of those squeezed texts that have enough pieces of some passage. Exact: a text left out holds no leak.
+        """Positions of those squeezed texts that have enough of some passage. Exact: a text left out holds no leak.
 
         About ``most`` (piece, passage) pairs are counted at a time; a text that has more by itself is taken uncounted.
         """
@@ -235,18 +236,33 @@ class Automaton:
         end = np.cumsum(size)
         of = np.searchsorted(end, hit, side="right")
         inside = hit + m <= end[of]  # not over the border of two texts
-        of, gram = of[inside], gram[inside]
+        of, gram, hit = of[inside], gram[inside], hit[inside]
         lo, c = self.gram_start[gram], self.gram_start[gram + 1] - self.gram_start[gram]
         pairs = np.bincount(of, weights=c, minlength=len(texts))
         out = [np.flatnonzero(pairs > most)]
         portion = np.cumsum(np.where(pairs > most, 0, pairs)) // most
         for q in np.unique(portion[(pairs > 0) & (pairs <= most)]):
             mine = (portion[of] == q) & (pairs[of] <= most)
-            a, n = lo[mine], c[mine]
-            item = self.gram_item[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            pair, times = np.unique(np.repeat(of[mine], n) * len(self.flat) + item, return_counts=True)
-            out.append(np.unique((pair // len(self.flat))[times >= self.least[pair % len(self.flat)]]))
-        return np.sort(np.concatenate(out))
+            out.append(self._enough(of[mine], hit[mine], lo[mine], c[mine]))
+        return np.unique(np.concatenate(out))
+
+    def _enough(self, of: np.ndarray, hit: np.ndarray, lo: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Texts in which some passage's stretches are together, or one of them alone, long enough for a leak. Rows are hits of text ``of`` at ``hit``, with their entries."""
+        m, count = self.spec.min_chars, len(self.flat)
+        place = np.repeat(lo - np.cumsum(c) + c, c) + np.arange(c.sum())
+        _, pair, times = np.unique(np.repeat(of, c) * count + self.gram_item[place], return_inverse=True, return_counts=True)
+        kept = (times[pair] >= self.least[self.gram_item[place]])
+        if not kept.any():
+            return np.zeros(0, dtype=np.int64)
+        place, pair, x, text = place[kept], pair[kept], np.repeat(hit, c)[kept], np.repeat(of, c)[kept]
+        shift = x - self.gram_at[place]
+        order = np.lexsort((x, shift, pair))
+        pair, x, shift, item, text = pair[order], x[order], shift[order], self.gram_item[place][order], text[order]
+        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (shift[1:] != shift[:-1]) | (x[1:] != x[:-1] + 1)])
+        n = np.diff(np.r_[first, len(x)]) + m - 1
+        owner = np.flatnonzero(np.r_[True, pair[first][1:] != pair[first][:-1]])
+        whole, longest, k = np.add.reduceat(n, owner), np.maximum.reduceat(n, owner), item[first[owner]]
+        return text[first[owner]][(whole >= self.spec.coverage * self.lengths[k]) | (longest >= self.runs[k])]
 
     def lengths_at(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The longest piece of any passage that ends at each position of ``text``, and the automaton's state there."""
@@ -402,7 +418,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, text: str, item:
 
     Columns: doc, item, words_in_row (longest stretch of whole words), coverage (share of the passage found in its
     order; 0 where it plays no part). One row a pair; it doesn't depend on what other passages there are. Null or empty texts and passages match
-    nothing, nor do those without any letter or digit; repeated rows of one document or item count once; no items or no documents give no
+    nothing, nor do passages of fewer than ``spec.min_chars`` letters and digits; repeated rows of one document or item count once; no items or no documents give no
     rows; extra columns are ignored. Letters are a-z and those of other scripts; accented Latin ones are left out on both sides.
 
     Whole texts are read once per shard of the passages (one, up to ``spec.shard_chars`` characters), without a shuffle. Hashes of all pieces of
