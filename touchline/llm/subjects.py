@@ -11,27 +11,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import materialise
+
 _BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h\d|td|tr|table)\b[^<>]{0,300}>", re.IGNORECASE)
 _BREAK = re.compile(r"<br\b[^<>]{0,300}>", re.IGNORECASE)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
 _QUOTE = re.compile(r"(?m)^[ \t]*>+[ \t]?")
 _HEADING = re.compile(r"(?m)^(\s*#.*)$")
-_END = re.compile(r"(?<=[.!?…])[\s\"”»)]+|\n\s*\n|\n(?=\s*(?:[-*#•]|\d+[.)]))|(?<=[.!?:])\n| lol\b")
+_END = re.compile(r"(?<=[.!?…])[\s\"”»)]+|\n\s*\n|\n(?=\s*(?:[-*#•]|\d+[.)]))|(?<=[.!?:])\n")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 
 
 @dataclass(frozen=True)
 class SubjectSpec:
-    """``max_train`` labelled documents at most fit the models (a hash-random sample); everything else
-    covers all documents. ``min_sentences`` sentences make a subject; a sentence of ``long`` words or more counts
-    twice. ``filler`` is the part of a sentence's likeness to subjectless ones that is taken off. ``thresholds`` are the evidences (nats) tried for a sentence; the one that agrees best with
-    the labels is taken."""
+    """``max_train`` labelled documents and ``max_chars`` characters of them at most fit the models (a hash-random sample of whole texts); everything else
+    covers all documents. Texts are judged in units: sentences, those of more than ``unit`` words in equal parts. ``min_units`` units make a subject. A token's
+    log ratio counts from ``low`` to ``high``; ``filler`` is the part of a unit's likeness to subjectless ones that is taken off. ``thresholds`` are the
+    evidences (nats: the difference of cross-entropies a token times the tokens) tried for a unit; each subject takes the one that agrees best with the labels of documents its models haven't
+    seen (``folds`` of them in turn)."""
 
     max_train: int = 12_000
+    max_chars: int = 200_000_000
     max_areas: int = 10_000
-    min_sentences: int = 3
-    long: int = 22
+    min_units: int = 3
+    unit: int = 22
     passes: int = 4
+    folds: int = 2
     cap: int = 1
     filler: float = 0.3
     prior: float = 300.0
@@ -39,7 +44,7 @@ class SubjectSpec:
     low: float = -0.5
     high: float = 3.0
     unlabelled: float = -1e9
-    thresholds: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0)
+    thresholds: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
     default: float = 2.0
     seed: int = field(default=17)
 
@@ -59,15 +64,24 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def units(text: str, longest: int) -> list[list[str]]:
+    """The sentences of a text, long ones in equal parts of at most ``longest`` words."""
+    out = []
+    for s in sentences(text):
+        parts = -(-len(s) // longest)
+        out += [s[i * len(s) // parts : (i + 1) * len(s) // parts] for i in range(parts)]
+    return out
+
+
 @dataclass
 class Corpus:
-    """Sentences as one array of word numbers, with the previous word of each."""
+    """Units as one array of word numbers, with the previous word of each."""
 
     word: np.ndarray
     prev: np.ndarray
-    sentence: np.ndarray  # where each sentence begins in ``word``
-    doc: np.ndarray  # the document of each sentence
-    size: np.ndarray  # words of each sentence
+    sentence: np.ndarray  # where each unit begins in ``word``
+    doc: np.ndarray  # the document of each unit
+    size: np.ndarray  # words of each unit
 
 
 class Speller:
@@ -97,14 +111,14 @@ class Speller:
         return n
 
 
-def encode(texts: list[str | None], number: Speller) -> Corpus:
-    """Unknown words are number 0, the beginning of a sentence is number 1."""
+def encode(texts: list[str | None], number: Speller, longest: int) -> Corpus:
+    """Unknown words are number 0, the beginning of a unit is number 1."""
     word: list[int] = []
     sentence, doc, size = [], [], []
     for d, text in enumerate(texts):
         if not text:
             continue
-        for s in sentences(text):
+        for s in units(text, longest):
             sentence.append(len(word))
             doc.append(d)
             size.append(len(s))
@@ -124,7 +138,8 @@ class SubjectModels:
     """
 
     def __init__(self, subjects: list[str], vocabulary: dict[str, int], spec: SubjectSpec):
-        self.subjects, self.vocabulary, self.spec, self.threshold = subjects, vocabulary, spec, spec.default
+        self.subjects, self.vocabulary, self.spec = subjects, vocabulary, spec
+        self.threshold = np.full(len(subjects), spec.default)
         self._speller: Speller | None = None
 
     @property
@@ -164,7 +179,7 @@ class SubjectModels:
         self.context_gain = np.log((rest(ctx) + q) / (own(ctx) + q)).astype(np.float32)
 
     def score(self, c: Corpus) -> np.ndarray:
-        """Evidence (nats) of every sentence for every subject against its background."""
+        """Evidence (nats) of every unit for every subject: by how much the subject's cross-entropy a token is below its background's, times the tokens."""
         k = len(self.subjects)
         if not len(c.word):
             return np.zeros((0, k), dtype=np.float32)
@@ -180,19 +195,41 @@ class SubjectModels:
             out[a:b] = np.add.reduceat(np.clip(gain, self.spec.low, self.spec.high), c.sentence[a:b] - lo, axis=0)
         return out[:, :k] - self.spec.filler * np.maximum(out[:, k:], 0)
 
-    def votes(self, c: Corpus, score: np.ndarray, docs: int, threshold: float) -> np.ndarray:
-        """Sentences of each document that deal with each subject: that of most evidence, if enough."""
+    def votes(self, c: Corpus, score: np.ndarray, docs: int, threshold: np.ndarray) -> np.ndarray:
+        """Units of each document that deal with each subject: that of most evidence, if enough."""
         out = np.zeros((docs, len(self.subjects)), dtype=np.int64)
         if len(score):
             best = score.argmax(1)
-            hit = score[np.arange(len(score)), best] > threshold
-            np.add.at(out, (c.doc[hit], best[hit]), 1 + (c.size[hit] >= self.spec.long))
+            hit = score[np.arange(len(score)), best] > threshold[best]
+            np.add.at(out, (c.doc[hit], best[hit]), 1)
         return out
 
 
+def _fitted(models: SubjectModels, c: Corpus, has: np.ndarray) -> None:
+    """Fits the models. Units are shared out among a document's labelled subjects over a few passes, since a document may have several."""
+    spec, k = models.spec, len(models.subjects)
+    of = np.repeat(np.arange(len(c.sentence)), c.size)  # the unit of every token
+    token, cls = np.nonzero(has[c.doc[of]])
+    weight = 1.0 / has.sum(1)[c.doc[of[token]]]
+    models.fit(c, c.doc[of[token]], cls, weight, c.word[token], c.prev[token])
+    bias = np.where(has, 0.0, spec.unlabelled)[c.doc]
+    for turn in range(spec.passes):
+        fit = models.score(c) + bias
+        best = fit.argmax(1)
+        best[fit[np.arange(len(fit)), best] <= (1.0 if turn == 0 else 1.5)] = k
+        models.fit(c, c.doc[of], best[of], np.ones(len(of)), c.word, c.prev)
+
+
+def _part(c: Corpus, docs: np.ndarray) -> Corpus:
+    """The units of the documents marked in ``docs``."""
+    mine = docs[c.doc]
+    token = np.repeat(mine, c.size)
+    size = c.size[mine]
+    return Corpus(c.word[token], c.prev[token], np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if len(size) else size, c.doc[mine], size)
+
+
 def train(texts: list[str], labels: list[set[int]], subjects: list[str], spec: SubjectSpec = SubjectSpec()) -> SubjectModels:
-    """Models from labelled documents. Sentences are shared out among subjects over a few passes, since a document
-    may have several subjects and labels may be wrong; the threshold is then calibrated against the labels."""
+    """Models from labelled documents, and each subject's threshold, calibrated on documents that the models of the other folds haven't seen."""
     n: Counter[str] = Counter()
     for t in texts:
         if t:
@@ -200,31 +237,31 @@ def train(texts: list[str], labels: list[set[int]], subjects: list[str], spec: S
     least = max(3, len(texts) // 2000)
     vocabulary = {w: i + 2 for i, w in enumerate(sorted(w for w, times in n.items() if times >= least))}
     models, k = SubjectModels(subjects, vocabulary, spec), len(subjects)
-    c = encode(texts, models.speller)
+    c = encode(texts, models.speller, spec.unit)
     if not len(c.word):
         return models
-    of = np.repeat(np.arange(len(c.sentence)), c.size)  # the sentence of every token
     has = np.zeros((len(texts), k), dtype=bool)
     for d, ls in enumerate(labels):
         has[d, list(ls)] = True
-    token, cls = np.nonzero(has[c.doc[of]])
-    weight = 1.0 / has.sum(1)[c.doc[of[token]]]
-    models.fit(c, c.doc[of[token]], cls, weight, c.word[token], c.prev[token])
-    bias = np.where(has, 0.0, spec.unlabelled)[c.doc]
-    for turn in range(spec.passes):
-        fit = models.score(c) + bias
-        best = fit.argmax(1)
-        best[fit[np.arange(len(fit)), best] <= (1.0 if turn == 0 else 1.5)] = k
-        models.fit(c, c.doc[of], best[of], np.ones(len(of)), c.word, c.prev)
-    score = models.score(c)
-    agreed = []
-    for t in spec.thresholds:
-        got = models.votes(c, score, len(texts), t) >= spec.min_sentences
-        agreed.append(2 * (got & has).sum() / max(1, got.sum() + has.sum()))
-    top = max(agreed)
-    # all that agree within a hundredth are as good; of these the one nearest to the default
-    good = [t for t, a in zip(spec.thresholds, agreed) if a >= top - 0.01]
-    models.threshold = min(good, key=lambda t: abs(t - spec.default))
+    right, found = np.zeros((len(spec.thresholds), k)), np.zeros((len(spec.thresholds), k))
+    for f in range(spec.folds):
+        held = np.arange(len(texts)) % spec.folds == f
+        seen, unseen = _part(c, ~held), _part(c, held)
+        if not len(seen.word) or not len(unseen.word):
+            continue
+        fold = SubjectModels(subjects, vocabulary, spec)
+        _fitted(fold, seen, has)
+        score = fold.score(unseen)
+        for i, t in enumerate(spec.thresholds):
+            got = fold.votes(unseen, score, len(texts), np.full(k, t)) >= spec.min_units
+            right[i] += (got & has)[held].sum(0)
+            found[i] += got[held].sum(0)
+    agreed = 2 * right / np.maximum(1, found + has.sum(0))
+    for s in range(k):
+        # all that agree within half a hundredth are as good; of these the one nearest to the default
+        good = [t for t, a in zip(spec.thresholds, agreed[:, s]) if a >= agreed[:, s].max() - 0.005]
+        models.threshold[s] = min(good, key=lambda t: abs(t - spec.default))
+    _fitted(models, c, has)
     return models
 
 
@@ -247,7 +284,10 @@ def tag_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, doc: s
     told = labels.select(F.col(doc).alias("d"), plain(F.col(subject)).alias("s")).filter(F.col("d").isNotNull() & F.col("s").isin([r["p"] for r in known]))
     told = told.groupBy("d").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("d", F.lit(spec.seed))).limit(spec.max_train)
     texts = docs.filter(F.col(doc).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc).alias("d"), F.col(text).alias("t"))
-    sample = texts.join(F.broadcast(told), "d").toPandas().sort_values("d")  # at most max_train documents
+    sample = materialise(texts.join(F.broadcast(told), "d").withColumn("z", F.xxhash64("d", F.lit(spec.seed))), "labelled")  # at most max_train documents
+    sizes = sample.select("z", F.length("t").alias("n")).toPandas().sort_values("z")
+    fits = sizes["z"][sizes["n"].cumsum() <= spec.max_chars]
+    sample = sample.filter(F.col("z") <= int(fits.max()) if len(fits) else F.lit(False)).toPandas().sort_values("d")
     number = {r["p"]: i for i, r in enumerate(known)}
     models = train(sample["t"].tolist(), [{number[x] for x in s} for s in sample["s"]], names, spec)
     kind = docs.schema[doc].dataType.simpleString()
@@ -261,9 +301,9 @@ def tag_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, doc: s
         for batch in batches:
             for at in range(0, len(batch), 500):  # few texts at a time, however long they are
                 pdf = batch.iloc[at : at + 500]
-                c = encode(pdf["t"].tolist(), m.speller)
+                c = encode(pdf["t"].tolist(), m.speller, m.spec.unit)
                 votes = m.votes(c, m.score(c), len(pdf), m.threshold)
-                d, s = np.nonzero(votes >= m.spec.min_sentences)
+                d, s = np.nonzero(votes >= m.spec.min_units)
                 yield pd.DataFrame({"d": pdf["d"].to_numpy()[d], "s": np.array(m.subjects, dtype=object)[s], "n": votes[d, s]})
 
     return texts.mapInPandas(tag, schema).groupBy(F.col("d").alias(doc), F.col("s").alias(subject)).agg(F.max("n").alias("n_sentences"))
