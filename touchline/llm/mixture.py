@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.session import materialise
@@ -18,7 +18,9 @@ BUCKET_BITS = 12
 
 
 def token_counter(path: str = TOKENIZER, pattern: str = PATTERN):  # noqa: ANN201
-    """A pandas UDF that counts a text's tokens; null and empty texts have none."""
+    """A pandas UDF that counts a text's tokens; null and empty texts have none. The vocabulary is read by the driver (about a megabyte) and shipped to the workers."""
+    with open(path, "rb") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())
     held: dict = {}
 
     @F.pandas_udf("long")
@@ -28,8 +30,7 @@ def token_counter(path: str = TOKENIZER, pattern: str = PATTERN):  # noqa: ANN20
         import tiktoken
 
         if "coder" not in held:
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
             held["coder"] = tiktoken.Encoding("mixture", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         coder = held["coder"]
         for texts in batches:
@@ -90,18 +91,17 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc: str, source: Column, tokens
     # the key's leading bits, with the sign turned so that buckets rise with the key
     bucket = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - BUCKET_BITS)
     rows = materialise(rows.withColumn("b", bucket), "mixture")
-    sums = rows.groupBy("s", "b").agg(F.sum("n").alias("n")).toPandas()  # at most targets x 2**BUCKET_BITS rows
-    available = {s: int(g) for s, g in sums.groupby("s")["n"].sum().items()}
+    sums = rows.groupBy("s", "b").agg(F.sum("n").alias("n"))  # at most 2**BUCKET_BITS rows a source
+    available = {r["s"]: int(r["n"]) for r in sums.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row a source
     spent = budgets(aims, available, total)
-    cuts = []
-    for s, by in sums.sort_values("b").groupby("s"):
-        size, budget = available[s], int(round(spent[s]))
-        epochs, rest = divmod(budget, size)
-        upto = by["n"].cumsum()
-        inside = int((upto <= rest).sum())
-        at = int(by["b"].iloc[inside]) if inside < len(by) else 2**BUCKET_BITS
-        cuts.append((s, epochs, at, rest - (int(upto.iloc[inside - 1]) if inside else 0)))
-    cut = spark.createDataFrame(cuts, "s string, epochs long, at long, left long")
+    # whole epochs, and what is left for a part of one
+    shares = [(s, *divmod(int(round(spent[s])), size)) for s, size in available.items()]
+    shares = F.broadcast(spark.createDataFrame(shares, "s string, epochs long, rest long"))  # at most max_sources rows
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    inside = sums.withColumn("upto", upto).join(shares, "s").groupBy("s", "epochs", "rest").agg(
+        F.min(F.when(F.col("upto") > F.col("rest"), F.col("b"))).alias("at"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("held")
+    )
+    cut = inside.select("s", "epochs", F.coalesce("at", F.lit(2**BUCKET_BITS)).alias("at"), (F.col("rest") - F.coalesce("held", F.lit(0))).alias("left"))
     placed = rows.join(F.broadcast(cut), "s")
     ordered = Window.partitionBy("s").orderBy("key", "d").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.filter("b = at").withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
