@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for files of this run in the shared folder, removed at its end."""
+    path = f"{shared_dir(spark)}/touchline-{name}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -143,6 +143,16 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_each(df: DataFrame, path: str) -> None:
+    """One JSON file a row, for readers that take a document a file."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def frame_window(df: DataFrame, start: float, end: float, fps: float, frame: str = "frame") -> DataFrame:
+    """Rows of the frames in [start, end) seconds, both rounded to whole frames (half-even)."""
+    return df.filter((F.col(frame) >= round(start * fps)) & (F.col(frame) < round(end * fps)))
+
+
 def split_sink(df: DataFrame, removed: Column, path: str) -> None:
     """Kept rows under ``kept``, the others under ``removed``, from one pass over the plan."""
     df.withColumn("part", F.when(F.coalesce(removed, F.lit(False)), "removed").otherwise("kept")).write.mode("overwrite").partitionBy("part").parquet(path)
