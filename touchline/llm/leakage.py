@@ -293,7 +293,7 @@ class Automaton:
 
         A passage's stretches don't depend on the others: every place whose longest match is long enough is looked up in all passages
         that hold its last ``min_chars`` characters, and neighbours along a diagonal are joined. About ``most`` places are held at a time.
-        With ``enough``, passages of which there are too few pieces for a leak are left out.
+        With ``enough``, passages of which there is too little for a leak are left out.
         """
         m = self.spec.min_chars
         longest, states = self.lengths_at(text)
@@ -319,7 +319,12 @@ class Automaton:
             first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (e[1:] - j[1:] != e[:-1] - j[:-1]) | (e[1:] != e[:-1] + 1)])
             n = np.diff(np.r_[first, len(item)]) + m - 1
             owner = np.flatnonzero(np.r_[True, item[first][1:] != item[first][:-1]])
-            for x, y in zip(owner, np.r_[owner[1:], len(first)]):
+            last = np.r_[owner[1:], len(first)]
+            if enough:
+                k = item[first[owner]]
+                held = (np.add.reduceat(n, owner) >= self.spec.coverage * self.lengths[k]) | (np.maximum.reduceat(n, owner) >= self.runs[k])
+                owner, last = owner[held], last[held]
+            for x, y in zip(owner, last):
                 yield int(item[first[x]]), list(zip((e[first[x:y]] - m).tolist(), (j[first[x:y]] - m).tolist(), n[x:y].tolist()))
 
     def leaked(self, text: str) -> dict[int, tuple[int, float, list[tuple[int, int]]]]:
