@@ -48,3 +48,16 @@ def test_rules_skips_and_document(spark, tmp_path):
 def test_events_of_no_labels(spark):
     none = spark.createDataFrame([], LABEL)
     assert event_rows(none, by=["match_id", "half"])[0].count() == 0 and event_documents(none, by=["match_id", "half"]).count() == 0
+
+
+def test_surface_round_trip(spark, tmp_path):
+    import pytest
+
+    from touchline.operators.value import load_surface, save_surface
+
+    surface = [[0.1 * r + c for c in range(6)] for r in range(4)]
+    save_surface(spark, surface, f"file://{tmp_path}/xt")
+    assert load_surface(spark, f"file://{tmp_path}/xt") == surface
+    spark.createDataFrame([(2, 2, [[1.0]])], "columns int, rows int, surface array<array<double>>").write.json(f"file://{tmp_path}/bad")
+    with pytest.raises(ValueError):
+        load_surface(spark, f"file://{tmp_path}/bad")

@@ -126,7 +126,7 @@ SER = "clip string, f int, x double, y double, fill string"
 def series(spark, rows, **kw):
     df = spark.createDataFrame(rows, SER)
     out = regular_series(df, source="clip", tick="f", values=["x", "y"], step=10, max_gap=50, **kw)
-    return sorted(tuple(r) for r in out.collect())
+    return sorted(tuple(r) for r in out.drop("n_periods").collect())
 
 
 def brute(rows):
@@ -171,5 +171,17 @@ def test_series_against_brute_force(spark):
             assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip(g[3:5], w[3:5]))
 
 
+def test_series_with_a_wrong_tick_far_out(spark):
+    rows = [("a", f, 1.0, float(f), "") for f in (3, 17, 41, 10_000_005, 10_000_031)]
+    df = spark.createDataFrame(rows, SER)
+    for longest in (40, 1000):
+        out = regular_series(df, source="clip", tick="f", values=["x", "y"], step=10, max_gap=50, chunk=8, longest=longest)
+        got = sorted((r["period_start"], r["n_periods"], r["n_readings"], r["fill"]) for r in out.collect())
+        assert got == [
+            (0, 1, 1, "observed"), (10, 1, 1, "observed"), (20, 1, 0, "interpolated"), (30, 1, 0, "interpolated"), (40, 1, 1, "observed"), (50, 999_995, 0, "missing"),
+            (10_000_000, 1, 1, "observed"), (10_000_010, 1, 0, "interpolated"), (10_000_020, 1, 0, "interpolated"), (10_000_030, 1, 1, "observed"),
+        ]
+
+
 def test_series_empty(spark):
     assert series(spark, []) == []

@@ -37,9 +37,9 @@ def stream_groups(df: DataFrame, machine: Callable[[], Callable[[dict], list[tup
                         out += step(None)
                     key, step = k, machine()
                 out += step(row)
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=columns, dtype=object)  # keeps large ids beside nulls
         if step is not None and finish:
-            yield pd.DataFrame(step(None), columns=columns)
+            yield pd.DataFrame(step(None), columns=columns, dtype=object)
 
     return df.repartition(parallelism(df.sparkSession), *by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
@@ -252,27 +252,55 @@ class BallTracker:
 
 
 def ball_path(df: DataFrame, *, by: list[str], row: str, spec: BallTrackSpec = BallTrackSpec()) -> DataFrame:
-    """At most one candidate a frame: a plausible path. ``df`` has frame, confidence, center_x, center_y, box_size and player_penalty; equal scores go to the smaller ``row``."""
+    """At most one candidate a frame: a plausible path. ``df`` has frame, confidence, center_x, center_y, box_size and player_penalty; equal scores go to the smaller ``row``.
+
+    A stretch of more than ``reset_gap`` frames without candidates resets the picker, so a sequence is cut there and its parts are picked apart. What crosses a cut is whether
+    the picker held a place before it: the conservative one then gives the first frame away. So each part is picked both ways, and a running
+    composition of the parts' ends tells which of the two holds.
+    """
     kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+    kind = df.schema[row].dataType.simpleString()
+    cols = materialise(df.filter(F.col("frame").isNotNull()).select(*by, F.col(row).alias("row"), "frame", "confidence", "center_x", "center_y", "box_size", "player_penalty"), "candidates")
+    frames = islands(materialise(cols.select(*by, "frame").distinct(), "frames"), by=by, order="frame", max_gap=spec.reset_gap, name="_part").select(*by, "frame", "_part")
+    frames = materialise(frames, "parts")
+    cut = cols.join(frames, [*by, "frame"])
+    if spec.conservative:
+        first = frames.groupBy(*by, "_part").agg(F.min("frame").alias("_first"))
+        ways = F.when((F.col("_part") == 1) | (F.col("frame") == F.col("_first")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        cut = cut.join(first, [*by, "_part"]).withColumn("_way", F.explode(ways)).drop("_first")
+    else:
+        cut = cut.withColumn("_way", F.lit(0))
 
     def machine():  # noqa: ANN202
-        tracker, held = BallTracker(spec), []
+        tracker, held, key = BallTracker(spec), [], []
 
         def step(r: dict | None) -> list[tuple]:
             out = []
             if held and (r is None or r["frame"] != held[0]["frame"]):
                 if (got := tracker.pick(held[0]["frame"], held)) is not None:
-                    out.append((*[got[b] for b in by], got["row"], got["frame"]))
+                    out.append((*key, got["row"], got["frame"], None))
                 held.clear()
-            if r is not None:
-                held.append(r)
+            if r is None:
+                return [*out, (*key, None, None, int(tracker.last is not None))]
+            key[:] = [*(r[b] for b in by), r["_part"], r["_way"]]
+            held.append(r)
             return out
 
         return step
 
-    cols = df.select(*by, F.col(row).alias("row"), "frame", "confidence", "center_x", "center_y", "box_size", "player_penalty")
-    out = stream_groups(cols, machine, by=by, order=["frame", "row"], schema=f"{kinds}, row {df.schema[row].dataType.simpleString()}, frame int", finish=True)
-    return out.withColumnRenamed("row", row)
+    out = stream_groups(cut, machine, by=[*by, "_part", "_way"], order=["frame", "row"], schema=f"{kinds}, _part long, _way int, row {kind}, frame int, _end int", finish=True)
+    if not spec.conservative:
+        return out.filter("row is not null").select(*by, F.col("row").alias(row), "frame")
+    out = materialise(out, "picked")
+    # a part whose second way has no frame left ends with nothing held
+    ends = out.filter("row is null").groupBy(*by, "_part").agg(F.coalesce(F.max(F.when(F.col("_way") == 0, F.col("_end"))), F.lit(0)).alias("_a"), F.coalesce(F.max(F.when(F.col("_way") == 1, F.col("_end"))), F.lit(0)).alias("_b"))
+    same = (F.col("_a") == F.col("_b")) | (F.col("_part") == 1)
+    ends = ends.withColumns({"_fix": F.when(same, F.col("_a")), "_not": F.when(~same & (F.col("_a") == 1), 1).otherwise(0)})
+    over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_turns", F.sum("_not").over(over)).withColumn("_since", F.last(F.when(F.col("_fix").isNotNull(), F.struct("_fix", "_turns")), ignorenulls=True).over(over))
+    ends = ends.withColumn("_held", (F.col("_since._fix") + F.col("_turns") - F.col("_since._turns")) % 2)
+    starts = ends.select(*by, (F.col("_part") + 1).alias("_part"), F.col("_held").alias("_start"))
+    return out.filter("row is not null").join(starts, [*by, "_part"], "left").filter(F.col("_way") == F.coalesce("_start", F.lit(0))).select(*by, F.col("row").alias(row), "frame")
 
 
 @dataclass(frozen=True)

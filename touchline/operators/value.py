@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.geometry import grid_bin
@@ -81,3 +81,17 @@ def fit_expected_threat(df: DataFrame, columns: int = 16, rows: int = 12, length
         if done:
             break
     return value.reshape(rows, columns).tolist()
+
+
+def save_surface(spark: SparkSession, surface: list[list[float]], path: str, length: float = 105.0, width: float = 68.0) -> None:
+    """A value surface as one JSON document."""
+    row = [(length, width, len(surface[0]), len(surface), [[float(v) for v in r] for r in surface])]
+    spark.createDataFrame(row, "length double, width double, columns int, rows int, surface array<array<double>>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_surface(spark: SparkSession, path: str) -> list[list[float]]:
+    """The surface that ``save_surface`` wrote; an error if it isn't as large as it says."""
+    r = spark.read.schema("columns int, rows int, surface array<array<double>>").json(path).first()
+    if r is None or len(r["surface"]) != r["rows"] or any(len(x) != r["columns"] for x in r["surface"]):
+        raise ValueError(f"no value surface in {path}")
+    return [list(x) for x in r["surface"]]

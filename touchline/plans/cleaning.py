@@ -30,6 +30,12 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_readings"))
 
 
+def p3_limits_and_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """The part of p3's cases that SQL can tell."""
+    told = _flags(spark, d).select("detection_id", F.explode("reasons").alias("reason"))
+    return told.filter(~F.col("reason").endswith("_spike"))
+
+
 def _series(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "ball_detections", "video", "frame", "center_x", "center_y")
     return regular_series(df, source="video", tick="frame", values=["center_x", "center_y"], step=PERIOD, max_gap=FILL_GAP)
@@ -98,7 +104,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy(table_name.alias("ref_table"), F.date_format("seen", "yyyy-MM").alias("month"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p4_found, p4_series, p5_found, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p3_limits_and_stuck, p4_found, p4_series, p5_found, p6_found, p6_counts)}
 
 _P4_READINGS = f"""
 readings AS (
@@ -145,7 +151,19 @@ orphans AS (
   WHERE r.rid <> '' AND (p.rid IS NULL OR p.gone OR p.since > r.seen))
 """
 
+def _stuck_sql(column: str, reason: str) -> str:
+    return f"""SELECT detection_id, '{reason}' AS reason FROM (SELECT *, count(*) OVER (PARTITION BY video, run) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY frame, detection_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT detection_id, video, frame, CASE WHEN lag({column}) OVER (PARTITION BY video ORDER BY frame, detection_id) = {column} THEN 0 ELSE 1 END AS new FROM r WHERE {column} IS NOT NULL))) WHERE n >= 6 AND new = 0"""
+
+
+_P3 = """
+WITH z AS (SELECT detection_id, max(struct_pack(l := loaded_at, v := video, f := frame, x := center_x, y := center_y, s := speed_px_per_second)) AS z FROM ball_detections WHERE detection_id IS NOT NULL GROUP BY 1),
+r AS (SELECT detection_id, z.v AS video, z.f AS frame, CASE WHEN NOT isnan(z.x) THEN z.x END AS x, CASE WHEN NOT isnan(z.y) THEN z.y END AS y, CASE WHEN NOT isnan(z.s) THEN z.s END AS s FROM z WHERE z.v IS NOT NULL AND z.f IS NOT NULL)
+"""
+
 ORACLES = {
+    "p3_limits_and_stuck": _P3 + "SELECT detection_id, 'place_limit' AS reason FROM r WHERE x < -5000 OR x > 20000 OR y < -5000 OR y > 20000 UNION ALL SELECT detection_id, 'rate_limit' FROM r WHERE s < 0 OR s > 100000 UNION ALL "
+    + " UNION ALL ".join(_stuck_sql(c, reason) for c, reason in (("x", "x_stuck"), ("y", "y_stuck"), ("s", "rate_stuck"))),
     "p4_found": f"WITH {_P4_READINGS} SELECT video, CAST(q * {PERIOD} AS INTEGER) AS period_start FROM holes",
     "p4_series": f"""WITH {_P4_READINGS},
       filled AS (SELECT video, q, (q * {PERIOD} + {(PERIOD - 1) / 2} - t1) / (tn - t1) AS f, tn - t1 > {FILL_GAP} AS far, x1, y1, xn, yn FROM holes)

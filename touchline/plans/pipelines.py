@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import associate, evaluate, motion, stateful
 from touchline.plans import automata, inventory, reference, views
-from touchline.session import materialise, shared_dir
+from touchline.session import materialise, scratch
 from touchline.sources.tables import table
 from touchline.streaming import live
 
@@ -126,7 +126,7 @@ def run_stream(df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     In append mode windows that the watermark hasn't passed at the end are left out; complete mode has them too.
     """
     s = df.sparkSession
-    base = f"{shared_dir(s)}/touchline-{tag}-{uuid.uuid4().hex}"
+    base = scratch(s, f"{tag}-{uuid.uuid4().hex}")
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "complete":  # the file sink only appends; each batch is the whole result
         s.createDataFrame([], df.schema).write.parquet(f"{base}/out")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_HELD: list[Callable[[], None]] = []
+
+
+def on_release(done: Callable[[], None]) -> None:
+    """Has ``done`` called when scratch is released, at the driver's end at the latest."""
+    if not _HELD:
+        atexit.register(release)
+    _HELD.append(done)
+
+
+def release() -> None:
+    """Removes all scratch written so far. Plans that operators have returned may still read it, so call this when their results are taken;
+    a driver that lives long would otherwise fill the shared folder."""
+    while _HELD:
+        _HELD.pop()()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path for files of this run in the shared folder, removed at its end."""
+    """A path for files of this run in the shared folder, removed by ``release``."""
     path = f"{shared_dir(spark)}/touchline-{name}"
-    atexit.register(_remove, spark, path)
+    on_release(lambda: remove(spark, path))
     return path
 
 
@@ -55,17 +73,16 @@ def materialise(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that survives the loss of executors: columnar and compressed, so
-    a fraction of the bytes a row-wise checkpoint takes. The folder is removed when the
-    driver's process ends; until then lazily built plans may still read it.
+    a fraction of the bytes a row-wise checkpoint takes. ``release`` removes the folder;
+    until then lazily built plans may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/touchline-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, f"{tag}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
