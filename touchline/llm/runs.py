@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.sequence import neighbours, running_count
 from touchline.session import materialise, parallelism
 
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
@@ -44,7 +45,7 @@ def collapse_runs(
 
     Canonical events become code points, an entity's rows a string, and a backreference finds the repetitions.
     An entity is cut into blocks of ``block`` steps of ``order``, so it need not fit one task; only the first and the
-    last run of each piece, which may go on next door, are stitched afterwards.
+    last run of each piece, which may go on next door, are stitched afterwards, in blocks as well.
     """
     spark = df.sparkSession
     kinds = {c: df.schema[c].dataType.simpleString() for c in (entity, order, *event)}
@@ -77,14 +78,15 @@ def collapse_runs(
 
     found = rows.repartition(parallelism(spark), "e", "blk").sortWithinPartitions("e", "blk", "o").mapInPandas(find, schema)
     found = materialise(found, "runs")
-    w = Window.partitionBy("e").orderBy("o0")
+    # few rows if blocks are full; where ticks are sparse nearly all, so these are taken in (wider) blocks, too
+    edge = neighbours(found.filter("head or tail"), by=["e"], order="o0", columns=[*vals, "tail", "o1"], block=64 * block)
     same = F.lit(True)
     for v in vals:
-        same = same & F.col(v).eqNullSafe(F.lag(v).over(w))
-    joined = F.coalesce(same & F.col("head") & F.lag("tail").over(w) & (F.col("o0") - F.lag("o1").over(w) <= max_gap), F.lit(False))
-    edge = found.filter("head or tail").withColumn("new", (~joined).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        same = same & F.col(v).eqNullSafe(F.col(f"prev_{v}"))
+    joined = F.coalesce(same & F.col("head") & F.col("prev_tail") & (F.col("o0") - F.col("prev_o1") <= max_gap), F.lit(False))
+    edge = running_count(edge.withColumn("new", ~joined), by=["e"], order="o0", flag=F.col("new"), name="run", block=64 * block)
     edge = edge.groupBy("e", "run").agg(
-        *[F.first(v).alias(v) for v in vals], F.min("o0").alias("o0"), F.max("o1").alias("o1"), F.sum("n").alias("n"),
+        *[F.min_by(v, "o0").alias(v) for v in vals], F.min("o0").alias("o0"), F.max("o1").alias("o1"), F.sum("n").alias("n"),
         F.min_by("t0", "o0").alias("t0"), F.max_by("t1", "o1").alias("t1"),
     )
     cols = ["e", *vals, "o0", "o1", "n", "t0", "t1"]

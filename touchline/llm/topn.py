@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.session import parallelism, shared_dir
+from touchline.session import on_release, parallelism, scratch
 
 
 def _bucketed(df: DataFrame, n: int, tag: str, by: list[str] = ()) -> DataFrame:
     """Writes ``df`` to the shared folder in ``n`` buckets of its column ``h``, one folder per value of ``by``: what is read back
     is already placed by ``h``, so ranking and joining on it need no exchange."""
     spark, name = df.sparkSession, f"touchline_{tag}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    w = df.write.format("parquet").bucketBy(n, "h").option("path", path)
+    w = df.write.format("parquet").bucketBy(n, "h").option("path", scratch(spark, name))
+    on_release(lambda: _drop(spark, name))
     (w.partitionBy(*by) if by else w).saveAsTable(name)
-    atexit.register(_drop, spark, name, path)
     return spark.table(name)
 
 
-def _drop(spark: SparkSession, name: str, path: str) -> None:
+def _drop(spark: SparkSession, name: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may be gone already; the folder is scratch
-        if path.startswith("file://"):
-            import shutil
-
-            shutil.rmtree(path[7:], ignore_errors=True)
+    except Exception:  # the session may be gone already, and its catalog with it
+        pass
 
 
 def shares(rows: int, groups: int, n: int) -> list[float]:
