@@ -6,6 +6,7 @@ from sorted partitions, so a long sequence is never held in memory as a whole.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -401,47 +402,62 @@ def track_players(df: DataFrame, *, by: list[str], player: str = "player_id", sp
     frames = materialise(df.select(*by, "frame").distinct(), "frames")
     parts = materialise(islands(frames, by=by, order="frame", max_gap=spec.missing_frames + 1, name="_part").select(*by, "frame", "_part"), "parts")
     cut = df.join(parts, [*by, "frame"])
-
-    def machine():  # noqa: ANN202
-        tracks: dict[int, list] = {}  # id: [box, last frame, age]
-        held: list[dict] = []
-        number = [0]
-
-        def step(r: dict | None) -> list[tuple]:
-            out = []
-            if held and (r is None or r["frame"] != held[0]["frame"]):
-                out = flush()
-                held.clear()
-            if r is not None:
-                held.append(r)
-            return out
-
-        def flush() -> list[tuple]:
-            frame = held[0]["frame"]
-            for t in [t for t, v in tracks.items() if frame - v[1] > spec.missing_frames + 1]:
-                del tracks[t]
-            ids = sorted(tracks)
-            boxes = np.array([[r[c] for c in ("x1", "y1", "x2", "y2", "foot_x", "foot_y")] for r in held], dtype=float)
-            found = {}
-            if ids:
-                found = {m[1]: m for m in match_frame(np.array([tracks[t][0] for t in ids]), np.array([tracks[t][1] for t in ids]), boxes, frame, spec)}
-            out = []
-            for k, r in enumerate(held):
-                if (m := found.get(k)) is not None:
-                    t = ids[m[0]]
-                    tracks[t] = [boxes[k], frame, tracks[t][2] + 1]
-                    out.append((*[r[b] for b in by], r["_part"], frame, r["_player"], t, m[2], m[3], m[4], m[5], tracks[t][2], "matched"))
-                else:
-                    number[0] += 1
-                    tracks[number[0]] = [boxes[k], frame, 1]
-                    out.append((*[r[b] for b in by], r["_part"], frame, r["_player"], number[0], None, None, None, None, 1, "new"))
-            return out
-
-        return step
-
-    cols = cut.select(*by, "_part", "frame", F.col(player).alias("_player"), "confidence", "x1", "y1", "x2", "y2", "foot_x", "foot_y")
+    box, keys = ["x1", "y1", "x2", "y2", "foot_x", "foot_y"], [*by, "_part"]
     schema = f"{kinds}, _part long, frame int, {player} {df.schema[player].dataType.simpleString()}, local_track long, match_score double, match_distance_px double, match_allowed_px double, match_iou double, track_age int, track_status string"
-    tracked = materialise(stream_groups(cols, machine, by=[*by, "_part"], order=["frame", F.desc("confidence"), "_player"], schema=schema, finish=True), "tracked")
+
+    def track(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frame by frame over sorted rows; tracks are arrays in the order of their numbers. A frame cut by a batch's end waits for the next one."""
+        rest, key = None, None
+        none = np.zeros(0, dtype=np.int64)
+        number, ids, held, seen, age = 0, none, np.zeros((0, 6)), none, none
+        for pdf in itertools.chain(batches, [None]):
+            rows = rest if pdf is None else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            same = np.ones(len(rows) - 1, dtype=bool)
+            for c in (*keys, "frame"):
+                v = rows[c].to_numpy()
+                same &= v[1:] == v[:-1]
+            start = np.r_[0, np.flatnonzero(~same) + 1]
+            stop = np.r_[start[1:], len(rows)]
+            if pdf is not None:  # the last frame may go on
+                rest = rows.iloc[start[-1] :].reset_index(drop=True)
+                start, stop = start[:-1], stop[:-1]
+                if not len(start):
+                    continue
+            rows = rows.iloc[: stop[-1]]
+            boxes, frame = rows[box].to_numpy(dtype=float), rows["frame"].to_numpy(dtype=np.int64)
+            local, grown = np.zeros(len(rows), dtype=np.int64), np.ones(len(rows), dtype=np.int64)
+            told = np.full((len(rows), 4), np.nan)
+            values = list(zip(*[rows[c].iloc[start].tolist() for c in keys]))
+            for k, a, b in zip(values, start.tolist(), stop.tolist()):
+                at = int(frame[a])
+                if k != key:
+                    key, number, ids, held, seen, age = k, 0, ids[:0], held[:0], seen[:0], age[:0]
+                alive = at - seen <= spec.missing_frames + 1
+                if not alive.all():
+                    ids, held, seen, age = ids[alive], held[alive], seen[alive], age[alive]
+                found = match_frame(held, seen, boxes[a:b], at, spec) if len(ids) else []
+                fresh = np.ones(b - a, dtype=bool)
+                if found:
+                    t, j = np.array([m[0] for m in found]), np.array([m[1] for m in found])
+                    fresh[j] = False
+                    held[t], seen[t] = boxes[a + j], at
+                    age[t] += 1
+                    local[a + j], grown[a + j], told[a + j] = ids[t], age[t], [m[2:] for m in found]
+                if (n := int(fresh.sum())):
+                    new = np.arange(number + 1, number + n + 1)
+                    number += n
+                    local[a:b][fresh] = new
+                    ids, held, seen, age = np.r_[ids, new], np.vstack([held, boxes[a:b][fresh]]), np.r_[seen, np.full(n, at)], np.r_[age, np.ones(n, dtype=np.int64)]
+            out = rows[[*keys, "frame", "_player"]].rename(columns={"_player": player}).assign(local_track=local)
+            for i, c in enumerate(("match_score", "match_distance_px", "match_allowed_px", "match_iou")):
+                out[c] = told[:, i]
+            yield out.assign(track_age=grown, track_status=np.where(np.isnan(told[:, 0]), "new", "matched"))
+
+    cols = cut.select(*keys, "frame", F.col(player).alias("_player"), "confidence", *box)
+    placed = cols.repartition(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys, "frame", F.desc("confidence"), "_player")
+    tracked = materialise(placed.mapInPandas(track, schema), "tracked")
     many = tracked.groupBy(*by, "_part").agg(F.max("local_track").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     many = many.select(*by, "_part", offset.alias("_offset"))

@@ -141,11 +141,15 @@ def stream_rates(s: SparkSession, d: str) -> DataFrame:
     """Sliding event rates of the whole events table, also of the windows still open at its end, run as a stream."""
     src = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     e = src.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = run_stream(live.windowed_rates(e, key="event_type", ts="ts", value="value", size="2 days", slide="1 day", late="1 hour"), "rates", "complete")
-    return out.select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.round("total", 4).alias("total"))
+    return run_stream(live.windowed_rates(e, key="event_type", ts="ts", value="value", size="2 days", slide="1 day", late="1 hour"), "rates", "complete")
 
 
-QUERIES = {f.__name__: f for f in (clip_pipeline, settings_sweep, handoff_summary, control_sweep, event_sessions, stream_rates)}
+def stream_rate_counts(s: SparkSession, d: str) -> DataFrame:
+    """``stream_rates`` with its windows in microseconds."""
+    return stream_rates(s, d).select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.round("total", 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (clip_pipeline, settings_sweep, handoff_summary, control_sweep, event_sessions, stream_rates, stream_rate_counts)}
 
 _ALL_PLAYERS = "pl AS (SELECT video, frame, player_id, foot_x, foot_y, field_zone FROM players WHERE field_zone <> 'off_field')"
 
@@ -183,7 +187,7 @@ ORACLES = {
     "clip_pipeline": _clip_sql(False) + f" SELECT {_SEGMENT_COLUMNS} FROM segs",
     "settings_sweep": _setting(_clip_sql(True)),
     "control_sweep": " UNION ALL ".join(f"SELECT {k} AS confirm_rows, count(*) AS segments, round(sum(greatest(0, t1 - t0)), 4) AS total_seconds, round(median(greatest(0, t1 - t0)), 4) AS median_seconds FROM ({automata.chain_sql(k)} SELECT * FROM segs)" for k in (3, 5, 8)),
-    "stream_rates": """WITH w AS (SELECT event_type, (epoch_us(ts) // 86400000000 - k) * 86400000000 AS start_us, value FROM events, (VALUES (0), (1)) x(k) WHERE ts IS NOT NULL)
+    "stream_rate_counts": """WITH w AS (SELECT event_type, (epoch_us(ts) // 86400000000 - k) * 86400000000 AS start_us, value FROM events, (VALUES (0), (1)) x(k) WHERE ts IS NOT NULL)
       SELECT event_type, start_us, start_us + 172800000000 AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""",
     "event_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 21600000000 THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start_us, max(t) AS last_us, count(*) AS n FROM i GROUP BY user_id, k""",
