@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.session import on_release, parallelism, scratch
+from touchline.session import materialise, on_release, parallelism, scratch
 
 
 def _bucketed(df: DataFrame, n: int, tag: str, by: list[str] = ()) -> DataFrame:
@@ -29,11 +29,11 @@ def _drop(spark: SparkSession, name: str) -> None:
 
 
 def shares(rows: int, groups: int, n: int) -> list[float]:
-    """Share of all scores above each band's lower edge: the first band holds about three times what the groups take, a second one three
-    times as much, the last is open."""
+    """Share of all scores above each band's lower edge: the first band holds about three times what the groups take (but no less than quantiles are told
+    apart), a second one three times as much, the last is open."""
     if not rows or not groups:
         return []
-    first = 3.0 * n * groups / rows
+    first = max(0.004, 3.0 * n * groups / rows)
     return [s for s in (first, 3 * first) if s < 0.9]
 
 
@@ -47,10 +47,13 @@ def top_n(
     With ``version``, of several rows of one (group, tie) only that of the greatest version counts (nulls lowest; of equal versions the greatest
     score), also if its score isn't ranked.
 
-    Rows are placed once, by group, and written in score bands cut at approximate quantiles (they decide the cost, not the result;
-    ``bands`` are the shares of the scores above their edges). From the top band down, a band is read without groups that are full, which an
-    anti-join takes out before anything is ranked, the rest is ranked exactly, and a group takes as many as it still lacks; none of this
-    needs another exchange. A group of more than ``hot`` rows and a quarter of what a partition holds on average (so there are at most four a
+    Scores are cut into bands at approximate quantiles (they decide the cost, not the result; ``bands`` are the shares of the scores above their edges). From the top
+    band down, a band is read without groups that are full, which an anti-join takes out before anything is ranked, the rest is
+    ranked exactly, and a group takes as many as it still lacks; once all groups are full, what is below isn't read.
+
+    Without ``version``, ``df`` itself is read once a band (and once each for sizes and quantiles), and before a band's exchange each task keeps at most ``n`` rows of a
+    group, so a group of any size is ranked without meeting in one task. With ``version`` rows have to meet: they are placed once, by group, and written in bands that are
+    ranked and joined as they lie. There a group of more than ``hot`` rows and a quarter of what a partition holds on average (so there are at most four a
     partition) is spread over parts, its deliveries are reduced before the exchange, and the best of its parts are ranked once more.
     """
     names, spark = [f"g{i}" for i in range(len(group))], df.sparkSession
@@ -65,11 +68,11 @@ def top_n(
         edges = ranked.agg(F.percentile_approx("s", [1 - c for c in cuts], 1000).alias("q")).first()["q"] or []
 
     keys = ["h", *names, "part"]
-    split = (size["most"] or 0) > hot
+    split = bool(version) and (size["most"] or 0) > hot
     if split:
         wide = sizes.filter(F.col("c") > hot).groupBy(F.xxhash64(*names).alias("g")).agg(F.ceil(F.sum("c") / hot).alias("parts"))  # at most 4 * buckets rows
         # equal ties stay together where their versions have to meet
-        salt = F.pmod(F.xxhash64("tie") if version else F.xxhash64("tie", "score"), F.col("parts")) + 1
+        salt = F.pmod(F.xxhash64("tie"), F.col("parts")) + 1
         rows = rows.withColumn("g", F.xxhash64(*names)).join(F.broadcast(wide), "g", "left").withColumn("part", F.coalesce(salt, F.lit(0)).cast("int")).drop("g", "parts")
     else:
         rows = rows.withColumn("part", F.lit(0))
@@ -80,11 +83,11 @@ def top_n(
             fewer = rows.filter("part > 0").groupBy(*columns).agg(newest).select(*columns, "z.*")
             rows = rows.filter("part = 0").select(*fewer.columns).unionByName(fewer)
         rows = rows.repartition(buckets, "h").groupBy(*columns).agg(newest).select(*columns, "z.score")
-    else:
-        rows = rows.repartition(buckets, "h")
     rows = rows.filter(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
     band = reduce(lambda rest, ie: F.when(F.col("score") >= ie[1], ie[0]).otherwise(rest), reversed(list(enumerate(edges))), F.lit(len(edges)))
-    rows = _bucketed(rows.withColumn("band", band), buckets, "bands", ["band"])
+    rows = rows.withColumn("band", band)
+    if version:
+        rows = _bucketed(rows, buckets, "bands", ["band"])
 
     same = F.struct(*names, "part")
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("tie").asc())
@@ -102,7 +105,10 @@ def top_n(
             have = F.greatest(have, F.coalesce(F.array_max(mine), F.lit(0)))
         best = best.withColumn("have", have).select(*keys, "tie", "score", "have")
         best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank") + F.col("have")).filter(F.col("rank") <= n)
-        taken.append(_bucketed(best.select(*keys, "tie", "score", "rank"), buckets, f"taken{b}"))
+        best = best.select(*keys, "tie", "score", "rank")
+        taken.append(_bucketed(best, buckets, f"taken{b}") if version else materialise(best, f"taken{b}"))
+        if not split and b < len(edges) and sum(t.filter(F.col("rank") == n).count() for t in taken) == size["groups"]:
+            break
     out = reduce(DataFrame.unionByName, taken)
     if split:
         whole = Window.partitionBy(*names).orderBy(F.col("score").desc(), F.col("tie").asc())
