@@ -6,7 +6,7 @@ import pytest
 
 from touchline.llm.leakage import Automaton, LeakSpec, find_leaks, leak_spans, remove_leaks, squeeze, squeeze_with_places
 from touchline.llm.mixture import budgets, mix, token_counter
-from touchline.llm.subjects import SubjectSpec, sentences, tag_subjects, train, units
+from touchline.llm.subjects import SubjectSpec, sentences, tag_subjects, units
 
 WORDS = [a + b for a in ("kar", "mol", "vis", "ten", "lun", "dra", "fos") for b in ("ba", "del", "ip", "mont", "o", "ush", "zan", "ek")]
 
