@@ -18,6 +18,11 @@ def nearest(ball: DataFrame, players: DataFrame, *, keys: list[str], row: str, x
 
     With ``prefer``, players that meet it come first as long as the nearest of them is within ``limit``.
     """
+    return ball.join(nearest_met(ball, players, keys=keys, row=row, x=x, y=y, px=px, py=py, player=player, keep=keep, prefer=prefer, limit=limit), row, "left")
+
+
+def nearest_met(ball: DataFrame, players: DataFrame, *, keys: list[str], row: str, x: str = "center_x", y: str = "center_y", px: str = "foot_x", py: str = "foot_y", player: str = "player_id", keep: list[str] = (), prefer: Column | None = None, limit: float = 150.0) -> DataFrame:
+    """``row`` and the nearest player, as ``nearest`` has it, of the ball rows that have one."""
     cand = ball.select(*keys, row, x, y).join(players, keys).withColumn("_d", distance(x, y, px, py))
     found = F.struct("_d", player, *[c for c in (px, py, *keep)])
     aggs = [F.min(found).alias("_any")]
@@ -26,8 +31,7 @@ def nearest(ball: DataFrame, players: DataFrame, *, keys: list[str], row: str, x
     best = cand.filter("_d is not null").groupBy(row).agg(*aggs)
     pick = F.col("_any") if prefer is None else F.when(F.col("_first._d") <= limit, F.col("_first")).otherwise(F.col("_any"))
     best = best.select(row, pick.alias("_b"))
-    best = best.select(row, F.col(f"_b.{player}").alias("nearest_player_id"), F.col("_b._d").alias("nearest_player_distance_px"), *[F.col(f"_b.{c}").alias(f"nearest_player_{c}") for c in (px, py, *keep)])
-    return ball.join(best, row, "left")
+    return best.select(row, F.col(f"_b.{player}").alias("nearest_player_id"), F.col("_b._d").alias("nearest_player_distance_px"), *[F.col(f"_b.{c}").alias(f"nearest_player_{c}") for c in (px, py, *keep)])
 
 
 def k_nearest(ball: DataFrame, players: DataFrame, k: int, *, keys: list[str], row: str, x: str = "center_x", y: str = "center_y", px: str = "foot_x", py: str = "foot_y", player: str = "player_id") -> DataFrame:

@@ -6,6 +6,7 @@ from sorted partitions, so a long sequence is never held in memory as a whole.
 
 from __future__ import annotations
 
+import copy
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -13,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.motion import islands
@@ -119,6 +121,9 @@ class PossessionChain:
         return now, done
 
 
+#: States whose frames a summary counts.
+CHAIN_STATES = ("controlled", "in_transit", "loose_or_unclear", "pending_control")
+_STATE_AT = {s: i for i, s in enumerate(CHAIN_STATES)}
 _CHAIN_INPUT = ["frame", "time", "player", "distance", "speed", "state", "excluded", "repaired"]
 
 
@@ -126,13 +131,18 @@ def _chain_parts(df: DataFrame, by: list[str], spec: ChainSpec, tie: list[str])
     """Adds ``_part``: a sequence is cut where the chain surely holds nothing, that is, where evidence follows a stretch in transit or loose that
     is longer than a possession is carried. Frames with equal order are put in the order of ``tie``."""
     rows = df.select(*by, *_CHAIN_INPUT, *tie)
-    if spec.carry_s < 0:
-        return rows.withColumn("_part", F.lit(0).cast("long"))
     evidence = (F.col("state") == "controlled") & ~F.coalesce("excluded", F.lit(False)) & F.col("player").isNotNull() & (F.col("distance") <= spec.max_distance)
     state = F.when((F.col("state") == "controlled") & F.col("excluded"), "in_transit").otherwise(F.col("state"))
     quiet = F.coalesce(~F.coalesce(evidence, F.lit(False)) & state.isin("in_transit", "loose_or_unclear"), F.lit(False))
-    rows = materialise(running_count(rows.withColumn("_quiet", quiet), by=by, order="frame", flag=~F.col("_quiet"), name="_run", tie=tie), "chain")
     # a run is a row that isn't quiet (but for one at the very beginning) and the quiet ones after it
+    return _cut_parts(rows, by, spec, tie, quiet, ~F.col("_quiet"))
+
+
+def _cut_parts(rows: DataFrame, by: list[str], spec: ChainSpec, tie: list[str], quiet: Column, starts: Column) -> DataFrame:
+    """Adds ``_part``: rows with ``starts`` begin runs, and a run whose ``quiet`` rows last longer than a possession is carried ends a part."""
+    if spec.carry_s < 0:
+        return rows.withColumn("_part", F.lit(0).cast("long"))
+    rows = materialise(running_count(rows.withColumn("_quiet", quiet), by=by, order="frame", flag=starts, name="_run", tie=tie), "chain")
     runs = rows.groupBy(*by, "_run").agg((F.max(F.when(F.col("_quiet"), F.col("time"))) - F.min(F.when(F.col("_quiet"), F.col("time"))) > spec.carry_s).alias("_dead"))
     over = Window.partitionBy(*by, "_step").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     # dead runs are counted in blocks of runs, then over the blocks
@@ -186,12 +196,125 @@ def possession_segments(df: DataFrame, *, by: list[str], spec: ChainSpec = Chain
 
 def chain_summary(frames: DataFrame, segments: DataFrame, *, by: list[str]) -> DataFrame:
     """Per sequence: frames by possession state, number of segments, their total and (exact) median duration; 0 where there is none."""
-    states = ("controlled", "in_transit", "loose_or_unclear", "pending_control")
-    out = frames.groupBy(*by).agg(*[F.count_if(F.col("possession_state") == s).alias(f"{s}_frames") for s in states])
+    out = frames.groupBy(*by).agg(*[F.count_if(F.col("possession_state") == s).alias(f"{s}_frames") for s in CHAIN_STATES])
     parts = segments.groupBy(*by).agg(F.count(F.lit(1)).alias("segments"), F.sum("duration_seconds").alias("total_seconds"), F.median("duration_seconds").alias("median_seconds"))
     return out.join(parts, by, "left").fillna({"segments": 0, "total_seconds": 0.0, "median_seconds": 0.0})
 
 
+class ChainSweep:
+    """The chains of ``many`` settings over one sequence. Settings whose chains hold the same share one, which is copied where their rows differ."""
+
+    def __init__(self, spec: ChainSpec, many: int):
+        self.groups: list[list] = [[PossessionChain(spec), list(range(many)), None, [0] * len(CHAIN_STATES)]]  # chain, settings, last row's place, frames by state
+        self.frames = [[0] * len(CHAIN_STATES) for _ in range(many)]
+
+    def settle(self, group: list) -> None:
+        if any(group[3]):
+            for s in group[1]:
+                self.frames[s] = [a + b for a, b in zip(self.frames[s], group[3])]
+            group[3] = [0] * len(CHAIN_STATES)
+
+    def split(self, filled: str) -> None:
+        for group in list(self.groups):
+            inside = [s for s in group[1] if filled[s] == "1"]
+            if inside and len(inside) < len(group[1]):
+                self.settle(group)
+                self.groups.append([copy.copy(group[0]), inside, group[2], [0] * len(CHAIN_STATES)])
+                group[1] = [s for s in group[1] if filled[s] != "1"]
+
+    def merge(self) -> None:
+        held: dict[tuple, list] = {}
+        for group in self.groups:
+            c = group[0]
+            first = held.setdefault((c.owner, c.begun, c.candidate, c.seen, c.carried_from, group[2]), group)
+            if first is not group:
+                self.settle(first), self.settle(group)
+                first[1] = first[1] + group[1]
+        self.groups = list(held.values())
+
+    def step(self, row: dict) -> list[tuple[list[int], float]]:
+        """The settings and durations of the segments that this row closes."""
+        if row["end"]:
+            return [(g[1], g[0].close(row, "end_of_input")[4]) for g in self.groups if g[0].owner is not None]
+        filled, out = row["filled"], []
+        if filled is not None:
+            self.split(filled)
+        for group in self.groups:
+            inside = filled is not None and filled[group[1][0]] == "1"
+            state = row["filled_state"] if inside else row["state"]
+            if state is None:  # a made row that these settings don't have
+                continue
+            chain = group[0]
+            if group[2] != (row["frame"] - 1 if inside else row["back"], row["back_id"]):  # rows without players in between
+                chain.candidate, chain.seen = None, 0
+            now, done = chain.step(row | {"state": state, "speed": row["filled_speed"] if inside else row["speed"]})
+            group[2] = (row["frame"], row["id"])
+            if (at := _STATE_AT.get(now["state"])) is not None:
+                group[3][at] += 1
+            if done:
+                out.append((group[1], done[4]))
+        if len(self.groups) > 1 and row["state"] is not None:
+            self.merge()
+        return out
+
+
+def sweep_summary(df: DataFrame, many: int, *, by: list[str], spec: ChainSpec) -> DataFrame:
+    """What ``chain_summary`` tells, for each of ``many`` settings (``setting``, from 0) whose paths differ in the gaps they fill, in one pass over the rows of all of them.
+
+    ``df`` has the path's rows that meet a player: frame, time, player, distance, id (order within a frame), and
+
+    * ``filled``: of a made row, or one after a gap that some setting fills, "1" for each setting that fills it and "0" for the others; else null,
+    * ``state`` and ``speed`` where the gap isn't filled (null for made rows), ``filled_state`` and ``filled_speed`` where it is,
+    * ``back`` and ``back_id``: the row before, ``back`` where the gap isn't filled (else it is the frame before). Where it has met no player, it is an unknown row.
+
+    One more row a sequence, with ``end``, has its last frame and time. Sequences without segments in a setting have sums of null.
+    """
+    near = F.col("player").isNotNull() & (F.col("distance") <= spec.max_distance)
+    evidence = F.coalesce(near & ((F.col("state") == "controlled") | (F.col("filled_state") == "controlled")), F.lit(False))
+    still = lambda c: F.col(c).isin("in_transit", "loose_or_unclear")
+    # a possession is carried over unknown rows, too, so only evidence in some setting begins a run; rows that were read are in every setting's path
+    quiet = F.coalesce(~evidence & still("state") & (F.col("filled").isNull() | still("filled_state")), F.lit(False))
+    parts = _cut_parts(df, by, spec, ["end", "id"], quiet, evidence)
+    keys = [*by, "_part"]
+    names = [f"{s}_frames" for s in CHAIN_STATES]
+    kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sweep = None, None
+
+        def ended() -> list[tuple]:
+            if sweep is None:
+                return []
+            for group in sweep.groups:
+                sweep.settle(group)
+            return [(*key[:-1], [s], *n, None) for s, n in enumerate(sweep.frames) if any(n)]
+
+        def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), schema.types)], schema=schema)
+
+        schema = None
+        for b in batches:
+            schema = schema or pa.schema([*(b.schema.field(x) for x in by), ("settings", pa.list_(pa.int32())), *((n, pa.int64()) for n in names), ("duration", pa.float64())])
+            out, columns = [], b.to_pydict()
+            for values in zip(*columns.values()):
+                row = dict(zip(columns, values))
+                k = tuple(row[x] for x in keys)
+                if k != key:
+                    out += ended()
+                    key, sweep = k, ChainSweep(spec, many)
+                out += [(*k[:-1], settings, *[None] * len(names), seconds) for settings, seconds in sweep.step(row)]
+            if out:
+                yield batch(out, schema)
+        if schema and (out := ended()):
+            yield batch(out, schema)
+
+    read = parts.select(*keys, "frame", "time", "player", "distance", "speed", "state", "filled", "filled_state", "filled_speed", "back", "back_id", "id", "end", F.lit(False).alias("excluded"), F.lit(False).alias("repaired"))
+    placed = read.repartition(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys, "frame", "end", "id")
+    told = placed.mapInArrow(run, f"{kinds}, settings array<int>, {', '.join(f'{n} long' for n in names)}, duration double")
+    each = told.withColumn("setting", F.explode("settings")).groupBy(*by, "setting")
+    return each.agg(*[F.sum(n).alias(n) for n in names], F.count("duration").alias("segments"), F.sum("duration").alias("total_seconds"), F.median("duration").alias("median_seconds"))
+
+
 @dataclass(frozen=True)
 class BallTrackSpec:
     restart: float = 0.45

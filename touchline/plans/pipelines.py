@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -15,16 +16,15 @@ from touchline.sources.tables import table
 from touchline.streaming import live
 
 
-def clip_rows(balls: DataFrame, players: DataFrame, fps: float, *, by: list[str], max_gap_s: float | Column = 1.0, max_speed: float | Column = 2500.0, place: list[str] | None = None, **limits: float) -> tuple[DataFrame, DataFrame]:
+def clip_rows(balls: DataFrame, players: DataFrame, fps: float, *, by: list[str], max_gap_s: float = 1.0, max_speed: float = 2500.0, **limits: float) -> tuple[DataFrame, DataFrame]:
     """Ball readings and players to the filled path and the rows the possession chain takes: fill gaps, motion, nearest on-field player, ball state.
 
-    ``by`` may hold more than a clip, such as a parameter setting: all settings then run in one job, and players join by ``place`` (the clip) alone, unrepeated.
     ``limits`` are those of ``associate.ball_state``.
     """
     path = motion.interpolate(balls, fps, by=by, max_gap_s=max_gap_s, max_speed=max_speed, source="interpolated_extended", tie=["detection_id"])
     path = materialise(path.withColumn("row", F.struct(*by, "detection_id", "frame")), "path")
     moved = materialise(motion.motion(path, fps, by=by, tie=["detection_id"]), "motion")
-    near = associate.nearest(moved, players, keys=[*(place or by), "frame"], row="row", keep=["field_zone"], prefer=F.col("field_zone") == "strict")
+    near = associate.nearest(moved, players, keys=[*by, "frame"], row="row", keep=["field_zone"], prefer=F.col("field_zone") == "strict")
     _, state = associate.ball_state(F.col("ball_speed_px_per_second"), F.col("nearest_player_distance_px"), F.col("nearest_player_field_zone"), **limits)
     return path, near.select(
         *by, "detection_id", "frame", (F.col("frame") / fps).alias("time"), F.col("nearest_player_id").cast("string").alias("player"), F.col("nearest_player_distance_px").alias("distance"),
@@ -38,14 +38,53 @@ def clip_possessions(balls: DataFrame, players: DataFrame, fps: float, *, by: li
 
 
 def sweep(balls: DataFrame, players: DataFrame, fps: float, settings: list[tuple[float, float]], *, by: list[str], spec: stateful.ChainSpec, **limits: float) -> DataFrame:
-    """Every setting (longest gap in seconds, greatest speed) through filling, association and chain, in one job; a summary row a clip and setting."""
-    params = F.array(*[F.struct(F.lit(float(g)).alias("max_gap_seconds"), F.lit(float(v)).alias("max_speed")) for g, v in settings])
-    each = [*by, "max_gap_seconds", "max_speed"]
-    path, rows = clip_rows(balls.withColumn("_p", F.explode(params)).select("*", "_p.*").drop("_p"), players, fps, by=each, max_gap_s=F.col("max_gap_seconds"), max_speed=F.col("max_speed"), place=by, **limits)
-    rows = materialise(rows, "sweep")
-    made = path.groupBy(*each).agg(F.count(F.lit(1)).alias("path_rows"), F.count_if(F.col("source") != "detected").alias("interpolated_rows"))
-    chain = stateful.chain_summary(stateful.possession_frames(rows, by=each, spec=spec, tie=["detection_id"]), stateful.possession_segments(rows, by=each, spec=spec, tie=["detection_id"]), by=each)
-    return made.join(chain, each)
+    """Every setting (longest gap in seconds, greatest speed) through filling, association and chain, in one job; a summary row a clip and setting.
+
+    Settings differ only in the gaps they fill, so a gap that some of them fill is filled and associated once, its rows name the settings, and what comes after it has its
+    motion both ways. The chains of all settings read these rows together.
+    """
+    settings = list(dict.fromkeys((float(g), float(v)) for g, v in settings))
+    given = F.col("source") != "detected" if "source" in balls.columns else F.lit(False)
+    read = balls.filter(" and ".join(f"`{b}` is not null" for b in by)).select(*by, "detection_id", "frame", "center_x", "center_y", given.alias("given"))
+    read = materialise(motion.neighbours(read, by=by, order="frame", columns=["frame", "center_x", "center_y", "detection_id"], tie=["detection_id"]), "read")
+    gap, k = F.col("frame") - F.col("prev_frame"), F.col("k")
+    length = lambda x, y: F.sqrt(x * x + y * y)
+    step = length(F.col("center_x") - F.col("prev_center_x"), F.col("center_y") - F.col("prev_center_y"))
+    pace = F.try_divide(step, gap / F.lit(float(fps)))
+    fills = [F.coalesce((gap > 1) & (gap - 1 <= math.floor(g * fps)) & (pace <= v), F.lit(False)) for g, v in settings]
+
+    made = [F.struct(F.lit(i).alias("setting"), F.lit(g).alias("max_gap_seconds"), F.lit(v).alias("max_speed"), (F.col("n") + F.col(f"made{i}")).alias("path_rows"), (F.col("given") + F.col(f"made{i}")).alias("interpolated_rows")) for i, (g, v) in enumerate(settings)]
+    rows = read.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("given").alias("given"), *[F.coalesce(F.sum(F.when(ok, gap - 1)), F.lit(0)).alias(f"made{i}") for i, ok in enumerate(fills)])
+    rows = rows.select(*by, F.explode(F.array(*made)).alias("m")).select(*by, "m.*")
+
+    # k counts the frames from the row before: of a gap that is filled somewhere those in it and the row after it; 0 is a row by itself
+    filled = F.concat(*[F.when(ok, "1").otherwise("0") for ok in fills])
+    path = read.withColumn("filled", F.when(filled.contains("1"), filled)).withColumn("k", F.explode(F.when(F.col("filled").isNotNull(), F.sequence(F.lit(1), gap)).otherwise(F.array(F.lit(0)))))
+    within = (k > 0) & (k < gap)
+
+    def at(c: str, k: Column) -> Column:
+        start, end = F.col(f"prev_{c}"), F.col(c)
+        return F.when(k == 0, start).when(k == gap, end).otherwise(start + F.try_divide(k, gap) * (end - start))
+
+    places = {c: F.when(k > 0, at(c, k)).otherwise(F.col(c)) for c in ("center_x", "center_y")}
+    back = {c: at(c, k - 1) for c in ("center_x", "center_y")}
+    path = path.select(
+        *by, F.when(within, F.col("prev_frame") + k).otherwise(F.col("frame")).alias("frame"), F.when(within, F.col("prev_detection_id")).otherwise(F.col("detection_id")).alias("id"),
+        *[p.alias(c) for c, p in places.items()], "filled", within.alias("made"), F.coalesce("prev_frame", "frame").alias("back"), F.coalesce("prev_detection_id", "detection_id").alias("back_id"),
+        F.when(~within, motion.speed(step, gap / F.lit(float(fps)))).alias("speed"),
+        F.when(k > 0, motion.speed(length(*[places[c] - back[c] for c in places]), F.lit(1.0) / F.lit(float(fps)))).alias("filled_speed"),
+    )
+    path = path.withColumn("row", F.struct(*[c for c in path.columns if c not in places]))
+    near = associate.nearest_met(path, players, keys=[*by, "frame"], row="row", keep=["field_zone"], prefer=F.col("field_zone") == "strict")
+    state = lambda c: associate.ball_state(F.col(f"row.{c}"), F.col("nearest_player_distance_px"), F.col("nearest_player_field_zone"), **limits)[1]
+    near = near.select(
+        "row.*", (F.col("row.frame") / fps).alias("time"), F.col("nearest_player_id").cast("string").alias("player"), F.col("nearest_player_distance_px").alias("distance"),
+        F.when(~F.col("row.made"), state("speed")).alias("state"), F.when(F.col("row.filled").isNotNull(), state("filled_speed")).alias("filled_state"), F.lit(False).alias("end"),
+    ).drop("made")
+    ends = read.groupBy(*by).agg(F.max("frame").alias("frame")).filter("frame is not null").withColumns({"time": F.col("frame") / fps, "end": F.lit(True)})
+    chain = stateful.sweep_summary(materialise(near.unionByName(ends, allowMissingColumns=True), "sweep"), len(settings), by=by, spec=spec)
+    out = rows.join(chain, [*by, "setting"], "left").drop("setting")
+    return out.fillna(0, [c for c in chain.columns if c not in (*by, "setting")])
 
 
 def handoff(labels: DataFrame, items: DataFrame, old: DataFrame, new: DataFrame, rerun: Callable[[str], DataFrame], venues: list[str], *, key: str) -> dict[str, DataFrame]:
